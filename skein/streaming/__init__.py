@@ -1,0 +1 @@
+"""The engine's queries are all over bounded tables; it defines no streaming operator."""
