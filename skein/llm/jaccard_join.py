@@ -171,7 +171,8 @@ def _matched():
         run_of = np.cumsum(new) - 1
         classes = np.bincount(run_of, minlength=1)[run_of] if len(sig) else run_of
         many = classes > 1
-        return pa.table({"sig": sig[many], "key": key[many], "side": sides[many].astype(np.int32), "classes": classes[many].astype(np.int32)})
+        least = key[np.flatnonzero(new)][run_of] if len(sig) else key
+        return pa.table({"sig": sig[many], "key": key[many], "side": sides[many].astype(np.int32), "classes": classes[many].astype(np.int32), "leader": least[many]})
 
     return run
 
@@ -248,28 +249,36 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     total = described.agg(F.sum(F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("low"), F.lit(0)))).first()[0] or 0
     parts = max(96, -(-total // PART_SIGNATURES))
     dealt = described.filter("size(own) > 0").select("d1", "own", "low").mapInArrow(_dealt(parts), "part int, side int, sigs array<long>, keys array<long>")
-    shared = materialise(dealt.groupBy("part").applyInArrow(_matched(), "sig long, key long, side int, classes int"), "shared")
+    shared = materialise(dealt.groupBy("part").applyInArrow(_matched(), "sig long, key long, side int, classes int, leader long"), "shared")
 
     # Common signatures go where a class has enough others.
     common = shared.filter(F.col("classes") > COMMON)
     skipped = common.groupBy("key", "side").count().join(classes.select(F.col("key").alias("k"), "n_own", "n_low", "d_own", "d_low"), F.col("key") == F.col("k"))
     n_all, need = (F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("n_own", "n_low"), ("d_own", "d_low")))
     needy = skipped.filter(n_all - F.col("count") <= need).select("key", "side")
-    kept = materialise(shared.filter(F.col("classes") <= COMMON).select("sig", "key").union(common.join(needy, ["key", "side"], "left_semi").select("sig", "key")).distinct(), "buckets")
+    needy = materialise(common.join(needy, ["key", "side"], "left_semi").select("sig", "key"), "common")
+    # The class with most of these signatures is the least altered member of its group: it links with all that link
+    # with any other, or nearly so. It leads its buckets.
+    score = materialise(needy.groupBy("key").agg(F.count("*").alias("score")).withColumnRenamed("key", "of"), "scores")
+    hubs = needy.join(score, F.col("key") == F.col("of")).groupBy("sig").agg(F.max(F.struct("score", "key")).alias("hub"))
+    led = needy.join(hubs.select(F.col("sig").alias("of"), F.col("hub.key").alias("leader")), F.col("sig") == F.col("of")).select("sig", "key", "leader")
+    kept = materialise(shared.filter(F.col("classes") <= COMMON).select("sig", "key", "leader").union(led), "buckets")
 
-    leaders = kept.groupBy("sig").agg(F.min("key").alias("a")).withColumnRenamed("sig", "of")
-    star = kept.join(leaders, F.col("sig") == F.col("of")).filter(F.col("a") < F.col("key")).select("a", F.col("key").alias("b")).distinct()
     about = classes.select("key", "n", *(f"s{i}" for i in range(SKETCH)))
-    star = star.join(about.alias("x"), F.col("a") == F.col("x.key")).join(about.alias("y"), F.col("b") == F.col("y.key")).filter(_bounds(num, den)).select("a", "b")
+    near = kept.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+    near = materialise(near, "led")
+    star = near.join(about.alias("x"), F.col("a") == F.col("x.key")).join(about.alias("y"), F.col("b") == F.col("y.key")).filter(_bounds(num, den)).select("a", "b")
     star = materialise(star, "pairs")
     linked = _verified(docs, star, classes, words, seed, num, den)
     found = materialise(components(linked), "components")
 
     # Buckets that still hold several components: the pairs between those.
-    member = kept.join(found.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
-    member = materialise(member, "members")
-    open_ = member.groupBy("sig").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("sig")
-    rest = materialise(member.join(open_, "sig", "left_semi").join(about, "key"), "open")
+    part = [found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+    parted = near.join(part[0], "a", "left").join(part[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    parted = parted.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("b").alias("key")), F.struct(F.col("b").alias("leader"), F.col("a").alias("key")))).alias("p")).select("p.*")
+    open_ = kept.join(parted, ["leader", "key"], "left_semi").select("sig").distinct()
+    rest = kept.join(open_, "sig", "left_semi").select("sig", "key").join(about, "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rest = materialise(rest, "open")
     cross = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _bounds(num, den))
     more = materialise(cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
