@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, shared_path
+from .common import materialise, same, shared_path
 from .pieces import Counter
 
 CACHE_SCHEMA = "content_digest binary, n_tokens long, tokenizer_digest string"
@@ -31,8 +31,16 @@ def _counter(name: str):
     def run(batches):
         import pyarrow as pa
 
-        count = Counter(name)
+        count, done = Counter(name), set()
         for b in batches:
+            # repeated rows of one id and text arrive in the same task
+            fresh = []
+            for i, digest in enumerate(b.column(0).to_pylist()):
+                if digest not in done:
+                    done.add(digest)
+                    fresh.append(i)
+            if len(fresh) < b.num_rows:
+                b = b.take(pa.array(fresh, pa.int64()))
             texts = b.column(1)
             n = [count(texts[i].as_py()) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["content_digest", "n_tokens"])
@@ -74,7 +82,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     counted = misses.select("digest", "text").mapInArrow(_counter(tokenizer), "content_digest binary, n_tokens long")
     counted.withColumn("tokenizer_digest", F.lit(name)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
 
-    stored = _cached(spark, cache, name)
+    # Written first: then both sides of the join are shuffled by it, and Spark can split a text with many copies.
+    stored = materialise(_cached(spark, cache, name), "token-counts")
     sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     out = sized.join(stored, sized.digest == stored.content_digest, "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -21,12 +21,11 @@ def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tol: flo
     nothing of the class. Starts from the belief that rules seldom blame good documents, so that bad votes,
     whichever they are, make a document bad; kinds of bad documents that different rules catch then stay one class.
     No rule may come to blame good documents more often than bad ones, nor more than most_blame of them, so the
-    classes keep their meaning. Returns the
-    prior of good, blame[rule, class] (probability that a vote is bad), the posterior of good by pattern, and each
-    rule's accuracy when it votes.
+    classes keep their meaning. Returns the prior of good, blame[rule, class] (probability that a vote is bad), the
+    posterior of good by pattern, and each rule's accuracy when it votes.
     """
     counts = np.asarray(counts, dtype=float)
-    patterns = np.asarray(patterns, dtype=np.int64).reshape(len(counts), -1)
+    patterns = np.asarray(patterns, dtype=np.int64)
     is_bad, is_good = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
     post = 1 / (1 + np.exp(3.0 * is_bad.sum(1) - 3.0))
     for _ in range(rounds):
