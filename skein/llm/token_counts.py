@@ -80,6 +80,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     wanted = wanted.withColumnRenamed("digest", "miss")
     misses = keyed.join(wanted.hint("shuffle_hash"), (F.col("digest") == F.col("miss")) & same(F.col("id"), F.col("first_id")), "left_semi")
     counted = misses.select("digest", "text").mapInArrow(_counter(tokenizer), "content_digest binary, n_tokens long")
+    counted = counted.dropDuplicates(["content_digest"])
     counted.withColumn("tokenizer_digest", F.lit(name)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
 
     # Written first: then both sides of the join are shuffled by it, and Spark can split a text with many copies.
