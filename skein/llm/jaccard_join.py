@@ -12,6 +12,11 @@ is passed over wherever a set has more than D other ones, and kept where it has
 Large groups. Equal sets are one class. In a bucket of equal signatures every class is first compared with
 one leader, so a group of near copies costs as many pairs as members. Only where a bucket then still holds
 several components are the pairs between components compared too, after bounds on size and on a parity sketch.
+Where such a bucket is large (a template with many unlike fillings), its classes are joined by the prefixes of their
+n-grams instead, rarest first, so that what all of them share brings no pairs.
+
+Signatures are matched part by part. A part that one signature makes several times heavier than the average is
+matched by plain aggregates and a join that Spark can split, so no bucket has to fit in one task.
 
 Verification. Partial overlaps are counted fragment by fragment and summed per pair, and the sum
 decides. Exact up to collisions of 64-bit hashes; two unequal sets with one 64-bit digest, or a set with too
@@ -21,10 +26,10 @@ few filled fragments, are noticed, and the join starts again with another seed a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, thinned
+from .common import materialise, small, thinned
 from .components import components
 from .shingles import GROUP_BYTES, Shingler, mix
 
@@ -33,6 +38,7 @@ SMALL = 48  # sets below this size use one fragment for each n-gram
 GROWTH = 1.5  # of the size classes
 COMMON = 64  # a signature of more classes than this is passed over where possible
 PART_SIGNATURES = 400_000  # signatures matched in one group
+HEAVY = 4  # a part with so many times the average is not matched in one group
 VERIFY_FRAGMENTS = 8
 
 
@@ -78,6 +84,15 @@ def signatures(hashed: np.ndarray, space: int, plan: Plan) -> np.ndarray:
     return mix(np.add.reduceat(mix(hashed), first) * np.uint64(0xC2B2AE3D27D4EB4F) + cell[first] + salt)
 
 
+def _digests(hashed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two digests of each set (sets of n hashes follow each other), and the mixed hashes."""
+    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    mixed = mix(hashed)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
+    total2 = np.concatenate([[np.uint64(0)], np.cumsum(mix(mixed + np.uint64(1)), dtype=np.uint64)])
+    return mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64), (total2[at[1:]] - total2[at[:-1]]).view(np.int64), mixed
+
+
 ROWS = "id {kind}, n int, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", own array<long>, low array<long>, n_own int, n_low int, d_own int, d_low int, short boolean"
 
 
@@ -93,10 +108,7 @@ def _describe(k: int, seed: int, num: int, den: int, slack: float):
                 m = j - i
                 n = np.bincount(text, minlength=m)
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-                mixed = mix(hashed)
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-                total2 = np.concatenate([[np.uint64(0)], np.cumsum(mix(mixed + np.uint64(1)), dtype=np.uint64)])
-                d1, d2 = mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64), (total2[at[1:]] - total2[at[:-1]]).view(np.int64)
+                d1, d2, mixed = _digests(hashed, n)
                 bits = np.bincount(text * (64 * SKETCH) + (mixed % np.uint64(64 * SKETCH)).astype(np.int64), minlength=m * 64 * SKETCH) & 1
                 sketch = np.packbits(bits.astype(np.uint8).reshape(m, -1), axis=1).view(np.int64)
                 space = plan.space(n)
@@ -153,6 +165,9 @@ def _dealt(parts: int):
     return run
 
 
+SHARED = "sig long, key long, side int, classes int, leader long"
+
+
 def _matched():
     """Signatures that at least two classes have, with how many have them."""
 
@@ -187,11 +202,12 @@ def _segments(k: int, seed: int):
                 if not len(text):
                     continue
                 n = np.bincount(text, minlength=j - i)
+                d1 = _digests(hashed, n)[0]
                 fragment = (hashed >> np.uint64(61)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(text * VERIFY_FRAGMENTS + fragment, prepend=-1))
                 offsets = pa.array(np.concatenate([cut, [len(text)]]).astype(np.int32))
                 rows = pa.array(text[cut] + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(n[text[cut]].astype(np.int32)), pa.array(fragment[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(hashed.view(np.int64)))], ["id", "n", "fragment", "grams"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(d1[text[cut]]), pa.array(n[text[cut]].astype(np.int32)), pa.array(fragment[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(hashed.view(np.int64)))], ["id", "d1", "n", "fragment", "grams"])
 
     return run
 
@@ -201,14 +217,19 @@ def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return thinned(docs, F.xxhash64("id"), wanted.select(F.xxhash64("id").alias("h")))
 
 
+def _grams(docs: DataFrame, keys: DataFrame, classes: DataFrame, k: int, seed: int) -> DataFrame:
+    """key, fragment, grams, size: the segments of the classes in keys (key). Repeated rows repeat their segments."""
+    wanted = materialise(classes.join(keys, "key").select("key", F.col("id").alias("least_id"), F.col("n").alias("size")), "wanted")
+    kind = dict(docs.dtypes)["id"]
+    rows = _wanted(docs, wanted.select(F.col("least_id").alias("id"))).mapInArrow(_segments(k, seed), f"id {kind}, d1 long, n int, fragment int, grams array<long>")
+    found = rows.join(wanted, (F.col("d1") == F.col("key")) & F.col("id").eqNullSafe(F.col("least_id"))).select("key", "fragment", "grams", "size")
+    return materialise(found, "segments")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold, by partial overlaps."""
     keys = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
-    wanted = materialise(classes.join(keys, "key").select("key", F.col("id").alias("least_id"), F.col("n").alias("size")), "wanted")
-    kind = dict(docs.dtypes)["id"]
-    rows = _wanted(docs, wanted.select(F.col("least_id").alias("id"))).mapInArrow(_segments(k, seed), f"id {kind}, n int, fragment int, grams array<long>")
-    found = rows.join(wanted, (F.col("id") == F.col("least_id")) & (F.col("n") == F.col("size"))).select("key", "fragment", "grams", "size")
-    found = materialise(found, "segments")
+    found = _grams(docs, keys, classes, k, seed)
     left = pairs.join(found.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("x"), F.col("size").alias("na")), "a")
     right = found.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("y"), F.col("size").alias("nb"))
     partial = left.join(right, ["b", "fragment"]).select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
@@ -218,6 +239,41 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, see
     return materialise(summed.filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "linked")
 
 
+def _by_prefix(docs: DataFrame, about: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of the classes in about (key, n, sketch, component), of different components, that may link.
+
+    Of two sets that link, the prefixes in one order of all n-grams share an n-gram; here the rarest come first. At
+    the first one shared, what is left of either set must still suffice for the overlap needed.
+    """
+    grams = _grams(docs, about.select("key"), classes, k, seed).select("key", "size", F.explode("grams").alias("gram")).distinct()
+    grams = materialise(grams, "open-grams")
+    rarity = materialise(grams.groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1"), "rarity")
+    ranked = grams.join(rarity, "gram", "left").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("holders", F.lit(1)), "gram")))
+    size = F.col("size").cast("long")
+    prefix = ranked.filter(F.lit(den) * (size - F.col("at") + 1) >= F.lit(num) * size).filter("holders is not null").select("key", "gram", "at")
+    prefix = materialise(prefix.join(about, "key"), "prefixes")
+    n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
+    left_over = F.least(n - F.col("x.at"), m - F.col("y.at")) + 1
+    joined = prefix.alias("x").join(prefix.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (left_over * (num + den) >= num * (n + m)) & _bounds(num, den))
+    return joined.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
+def _match(described: DataFrame, total: int) -> DataFrame:
+    """sig, key, side, classes, leader: signatures that at least two classes have."""
+    parts = max(96, -(-total // PART_SIGNATURES))
+    dealt = described.filter("size(own) > 0").select("d1", "own", "low").mapInArrow(_dealt(parts), "part int, side int, sigs array<long>, keys array<long>")
+    loads = dealt.groupBy("part").agg(F.sum(F.size("sigs")).alias("load"))
+    heavy = materialise(loads.filter(F.col("load") * parts > HEAVY * total).select("part"), "heavy-parts")
+    if not heavy.limit(1).count():
+        return materialise(dealt.groupBy("part").applyInArrow(_matched(), SHARED), "shared")
+    heavy = small(heavy)
+    light = dealt.join(heavy, "part", "left_anti").groupBy("part").applyInArrow(_matched(), SHARED)
+    each = dealt.join(heavy, "part", "left_semi").select("side", F.explode(F.arrays_zip("sigs", "keys")).alias("s"))
+    each = materialise(each.select(F.col("s.sigs").alias("sig"), F.col("s.keys").alias("key"), "side").distinct(), "heavy-signatures")
+    held = materialise(each.groupBy("sig").agg(F.count("*").cast("int").alias("classes"), F.min("key").alias("leader")).filter("classes > 1"), "heavy-counts")
+    return materialise(light.unionByName(each.join(held, "sig").select("sig", "key", "side", "classes", "leader")), "shared")
+
+
 def _bounds(num: int, den: int):
     """Whether the sizes and sketches of x and y leave a link possible; each differing n-gram flips one parity bit."""
     n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
@@ -247,9 +303,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         raise RuntimeError(f"no seed of {tries} gave every set enough filled fragments")
 
     total = described.agg(F.sum(F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("low"), F.lit(0)))).first()[0] or 0
-    parts = max(96, -(-total // PART_SIGNATURES))
-    dealt = described.filter("size(own) > 0").select("d1", "own", "low").mapInArrow(_dealt(parts), "part int, side int, sigs array<long>, keys array<long>")
-    shared = materialise(dealt.groupBy("part").applyInArrow(_matched(), "sig long, key long, side int, classes int, leader long"), "shared")
+    shared = _match(described, total)
 
     # Common signatures go where a class has enough others.
     common = shared.filter(F.col("classes") > COMMON)
@@ -260,7 +314,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     # The class with most of these signatures is the least altered member of its group: it links with all that link
     # with any other, or nearly so. It leads its buckets.
     score = materialise(needy.groupBy("key").agg(F.count("*").alias("score")).withColumnRenamed("key", "of"), "scores")
-    hubs = needy.join(score, F.col("key") == F.col("of")).groupBy("sig").agg(F.max(F.struct("score", "key")).alias("hub"))
+    hubs = materialise(needy.join(score, F.col("key") == F.col("of")).groupBy("sig").agg(F.max(F.struct("score", "key")).alias("hub")), "hubs")
     led = needy.join(hubs.select(F.col("sig").alias("of"), F.col("hub.key").alias("leader")), F.col("sig") == F.col("of")).select("sig", "key", "leader")
     kept = materialise(shared.filter(F.col("classes") <= COMMON).select("sig", "key", "leader").union(led), "buckets")
 
@@ -279,8 +333,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     open_ = kept.join(parted, ["leader", "key"], "left_semi").select("sig").distinct()
     rest = kept.join(open_, "sig", "left_semi").select("sig", "key").join(about, "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     rest = materialise(rest, "open")
-    cross = rest.alias("x").join(rest.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _bounds(num, den))
-    more = materialise(cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    large = materialise(rest.groupBy("sig").count().filter(F.col("count") > COMMON).select("sig"), "large-buckets")
+    few = rest
+    if many := large.limit(1).count():
+        few = materialise(rest.join(large, "sig", "left_anti"), "open-small")
+    cross = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _bounds(num, den))
+    cross = cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    if many:
+        crowd = materialise(rest.join(large, "sig", "left_semi").drop("sig").distinct(), "open-classes")
+        cross = cross.union(_by_prefix(docs, crowd, classes, words, seed, num, den))
+    more = materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         linked = linked.union(_verified(docs, more, classes, words, seed, num, den))
         found = materialise(components(linked), "components")

@@ -216,6 +216,33 @@ def test_op4_equals_brute_force(spark, k, num):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, k, num, 100)
 
 
+def template_texts():
+    """A template with many unlike fillings, some of them near copies: large buckets that no leader settles."""
+    template, out = unique(77, 100).split(), []
+    for i in range(90):
+        w = list(template)
+        w[10:10] = unique(3000 + i, 16).split()
+        out.append(" ".join(w))
+    return out + [altered(out[i], 0.005, i) for i in range(0, 90, 9)]
+
+
+def test_op4_large_open_buckets_and_heavy_parts(spark, monkeypatch):
+    texts, found = template_texts() + family_texts(), []
+    prefix = jaccard_join._by_prefix
+    monkeypatch.setattr(jaccard_join, "_by_prefix", lambda *a: found.append(1) or prefix(*a))
+    monkeypatch.setattr(jaccard_join, "HEAVY", 0)  # every part is matched without groups
+    monkeypatch.setattr(jaccard_join, "COMMON", 8)
+    got = by_id(jaccard_join.jaccard_components(frame(spark, texts), words=4, num=85, den=100))
+    assert found and {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, 4, 85, 100)
+
+
+def test_op4_null_ids(spark):
+    a, b = unique(1, 200), unique(2, 200)
+    rows = [(None, a), (None, altered(a, 0.002, 1)), (None, b), (7, altered(a, 0.002, 2)), (3, "x y"), (3, "x y")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, num=85).collect()
+    assert sorted((r.component_id is None, r.component_id or 0) for r in got) == [(False, 3)] * 2 + [(False, 7)] * 3 + [(True, 0)]
+
+
 def test_op4_starts_again_when_fragments_run_short(spark):
     texts = [unique(1, 300), altered(unique(1, 300), 0.01, 1), unique(2, 300)]
     plan = jaccard_join.Plan(85, 100, 1.1)
