@@ -3,6 +3,9 @@
 run() writes each stage's rows to the shared folder and reads them again as the next stage's documents.
 The result, token rows packed from the mixed documents, cannot be expressed in SQL, so ORACLE_SQL is None and
 tests hold the stages against brute force.
+
+Stages tell rows apart by id and text, so a null id, or one id on unlike texts, neither loses nor keeps a document
+wrongly. Rows repeated with id and text are copies: near_duplicates leaves one of them.
 """
 
 from __future__ import annotations
@@ -20,24 +23,52 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs).filter("quality_kept").select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column, of a name that docs does not use, that names a row by its id and text; ids keep their order."""
+    name = "_row"
+    while name in docs.columns:
+        name = "_" + name
+    text = F.col("text")
+    return docs.withColumn(name, F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(1))))), name
+
+
+def _single(docs: DataFrame, row: str, repeated: DataFrame) -> DataFrame:
+    """docs with one row for each value of `row`; repeated (column _of) lists the values that several rows have.
+
+    If such rows differ in other columns, the one with the least hash of all columns stays.
+    """
+    if not repeated.limit(1).count():
+        return docs
+    many = docs.join(repeated, F.col(row) == F.col("_of"), "left_semi")
+    least = many.groupBy(F.col(row).alias("_of")).agg(F.min_by(F.struct(*map(F.col, docs.columns)), F.xxhash64(*docs.columns)).alias("_one")).select("_one.*")
+    return docs.join(repeated, F.col(row) == F.col("_of"), "left_anti").unionByName(least)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least id, of each group linked by five-word shingles at 0.8 or more."""
-    found = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+    keyed, row = _keyed(docs)
+    found = jaccard_join.jaccard_components(keyed, words=5, num=80, den=100, id_col=row)
+    first = materialise(found.filter(F.col(row) == F.col("component_id")).groupBy(F.col(row).alias("_of")).agg(F.count("*").alias("_rows")), "first-of-group")
+    kept = keyed.join(first, F.col(row) == F.col("_of"), "left_semi")
+    return _single(kept, row, first.filter("_rows > 1")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    keyed, row = _keyed(docs)
+    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=row)
+    bad = found.filter("contaminated").select(F.col(row).alias("_bad"))
+    return keyed.join(bad, F.col(row) == F.col("_bad"), "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document that is taken twice stands twice; one that is not taken is left out."""
-    mixed = source_mix.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("_copy"))
-    return docs.join(mixed, F.col("doc_id") == F.col("_id")).select(docs.columns)
+    keyed, row = _keyed(docs)
+    copies = F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
+    mixed = materialise(source_mix.mix(keyed, id_col=row).groupBy(F.col(row).alias("_of")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows")), "mixed")
+    once = _single(keyed, row, mixed.filter("_rows > 1"))
+    taken = mixed.filter("_copies > 0").select("_of", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return once.join(taken, F.col(row) == F.col("_of")).select(*(once[c] for c in docs.columns))
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
