@@ -78,7 +78,7 @@ class Scorer:
 
 def train(docs: DataFrame, sample: int = 3000, rounds: int = 150, rate: float = 3.0, ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Votes of all documents give the labellers' accuracies; about `sample` documents, drawn by a hash of
-    the id, train the linear scorer on their posteriors. Both classes weigh the same there.
+    id and text, train the linear scorer on their posteriors. Both classes weigh the same there.
 
     An empty table, or one whose votes all agree, gives a scorer that keeps everything the votes keep.
     """
@@ -87,7 +87,7 @@ def train(docs: DataFrame, sample: int = 3000, rounds: int = 150, rate: float =
     posterior, fit = posterior_by_pattern(counts)
     total = sum(n for _, n in counts)
     share = min(1.0, sample / max(1, total))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("quality sample")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
     found = docs.filter(drawn).select(F.col(text_col).alias("text")).mapInArrow(_sampled(), "votes long, x binary").toArrow()
     y = np.array([posterior[v] for v in found["votes"].to_pylist()])
     weights, bias = np.zeros(DIM, np.float32), 0.0

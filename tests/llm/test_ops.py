@@ -464,3 +464,21 @@ def test_pipeline(spark):
     assert set(collections.Counter(r.doc_id for r in mixed.collect()).values()) <= {1, 2}
     out = pipeline.run(spark, DIR).collect()
     assert out and all(r.n_tokens == r.cu_seqlens[-1] for r in out)
+
+
+def test_pipeline_stages_with_nulls_and_repeated_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    good = [unique(i, 80) for i in range(4)]
+    rows = [(None, good[0]), (None, good[1]), (1, good[2]), (1, good[2]), (1, good[3]), (2, good[3]), (None, item), (5, None), (6, ""), (None, None)]
+    own = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    stay = lambda stage: collections.Counter((r.doc_id, r.text) for r in stage(spark, own, DIR).collect())
+    first = collections.Counter(dict.fromkeys(rows, 1))
+    del first[(2, good[3])]
+    assert stay(pipeline.near_duplicates) == first
+    assert stay(pipeline.decontamination) == collections.Counter(r for r in rows if r[1] != item)
+    mixed = stay(pipeline.mixing)
+    assert set(mixed) <= {r for r in rows if r[1]} and all(n <= 2 * rows.count(r) for r, n in mixed.items()) and sum(mixed.values()) >= 8
+    for _, stage in pipeline.STAGES:
+        stage(spark, docs.filter("false"), DIR).collect()
