@@ -12,8 +12,8 @@ is passed over wherever a set has more than D other ones, and kept where it has
 Large groups. Equal sets are one class. In a bucket of equal signatures every class is first compared with
 one leader, so a group of near copies costs as many pairs as members. Only where a bucket then still holds
 several components are the pairs between components compared too, after bounds on size and on a parity sketch.
-Where such a bucket is large (a template with many unlike fillings), its classes are joined by the prefixes of their
-n-grams instead, rarest first, so that what all of them share brings no pairs.
+Where such a bucket is large (a template with many unlike fillings), its classes outside the largest component are
+looked up by their rarest n-grams instead, so that what all of them share brings no pairs.
 
 Signatures are matched part by part. A part that one signature makes several times heavier than the average is
 matched by plain aggregates and a join that Spark can split, so no bucket has to fit in one task.
@@ -239,23 +239,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, see
     return materialise(summed.filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "linked")
 
 
-def _by_prefix(docs: DataFrame, about: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of the classes in about (key, n, sketch, component), of different components, that may link.
+def _by_prefix(docs: DataFrame, about: DataFrame, minor: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b), of different components, of a class in minor (key) and one in about (key, n, sketch, component) that may link.
 
-    Of two sets that link, the prefixes in one order of all n-grams share an n-gram; here the rarest come first. At
-    the first one shared, what is left of either set must still suffice for the overlap needed.
+    A set that links with another holds one of its n-grams among any few of its own, as many as may differ and one more.
+    These are its rarest here, looked up among all n-grams of the other classes. Where the first one shared comes, what is
+    left of the set must still suffice for the overlap needed.
     """
-    grams = _grams(docs, about.select("key"), classes, k, seed).select("key", "size", F.explode("grams").alias("gram")).distinct()
-    grams = materialise(grams, "open-grams")
+    segments = _grams(docs, about.select("key"), classes, k, seed).select("key", "fragment", "grams").dropDuplicates(["key", "fragment"])
+    grams = materialise(segments.join(about, "key").select(*about.columns, F.explode("grams").alias("gram")), "open-grams")
     rarity = materialise(grams.groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1"), "rarity")
-    ranked = grams.join(rarity, "gram", "left").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("holders", F.lit(1)), "gram")))
-    size = F.col("size").cast("long")
-    prefix = ranked.filter(F.lit(den) * (size - F.col("at") + 1) >= F.lit(num) * size).filter("holders is not null").select("key", "gram", "at")
+    own = grams.select("key", "n", "gram").join(minor, "key", "left_semi")
+    # n-grams of one class alone bring no pair; they are the rarest, so they only move the others back
+    mine = Window.partitionBy("key")
+    ranked = own.join(rarity, "gram").withColumn("at", F.col("n").cast("long") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "gram")))
+    size = F.col("n").cast("long")
+    prefix = ranked.filter(F.lit(den) * (size - F.col("at") + 1) >= F.lit(num) * size).select("key", "gram", "at")
     prefix = materialise(prefix.join(about, "key"), "prefixes")
     n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
-    left_over = F.least(n - F.col("x.at"), m - F.col("y.at")) + 1
-    joined = prefix.alias("x").join(prefix.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (left_over * (num + den) >= num * (n + m)) & _bounds(num, den))
-    return joined.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    enough = (n - F.col("x.at") + 1) * (num + den) >= num * (n + m)
+    joined = prefix.alias("x").join(grams.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & enough & _bounds(num, den))
+    return joined.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def _match(described: DataFrame, total: int) -> DataFrame:
@@ -340,8 +344,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     cross = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _bounds(num, den))
     cross = cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     if many:
-        crowd = materialise(rest.join(large, "sig", "left_semi").drop("sig").distinct(), "open-classes")
-        cross = cross.union(_by_prefix(docs, crowd, classes, words, seed, num, den))
+        # In each bucket the component with most classes has been joined within: every pair left has a member outside it.
+        crowd = materialise(rest.join(large, "sig", "left_semi"), "open-large")
+        sizes = crowd.groupBy("sig", F.col("component").alias("c")).count()
+        major = materialise(sizes.groupBy(F.col("sig").alias("of")).agg(F.max(F.struct("count", "c")).alias("major")), "majors")
+        minor = materialise(crowd.join(major, (F.col("sig") == F.col("of")) & (F.col("component") != F.col("major.c"))).select("key").distinct(), "minor-classes")
+        crowd = materialise(crowd.drop("sig").distinct(), "open-classes")
+        cross = cross.union(_by_prefix(docs, crowd, minor, classes, words, seed, num, den))
     more = materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         linked = linked.union(_verified(docs, more, classes, words, seed, num, den))
