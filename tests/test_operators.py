@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skein.functions import geo, media
+from skein.functions import geo, media, metrics
 from skein.operators import evaluation, fragments, fusion, relational, spatial, vector_search
 from skein.sources.media_load import load_media
 
@@ -135,3 +135,20 @@ def test_audio_features(spark, tmp_path):
     good, bad = load_media(spark, str(tmp_path / "m"), v)
     row = good.collect()[0]
     assert row.nombre == "a.wav" and len(row.rasgos) == 4 and bad.count() == 1
+
+
+def test_neighbours_of_many_targets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vs = rng.normal(size=(400, 6)) + 6 * rng.integers(0, 3, (400, 1))
+    vs[100:140] = vs[7]  # ties
+    vs[200] = 0
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(vs)), (400, None)], "_rid long, v array<double>").repartition(5)
+    monkeypatch.setattr(vector_search, "TARGETS", 3)
+    ids = [0, 7, 110, 200, 399]
+    ivf = vector_search.build_ivf(df.filter("v is not null"), "v", nlist=5)
+    for metric in metrics.METRICS:
+        want = {i: [(r._rid, round(r.score, 9)) for r in vector_search.nearest(df.filter("v is not null"), "v", vs[i].tolist(), 12, metric).collect()] for i in ids}
+        for index in (None, ivf):
+            got = vector_search.nearest_all(df, "v", df.filter(df._rid.isin(ids)), 12, metric, ivf=index).orderBy("target", "rank").collect()
+            assert {i: [(r._rid, round(r.score, 9)) for r in got if r.target == i] for i in ids} == want
+    assert vector_search.nearest_all(df, "v", df.filter("false"), 3).count() == 0

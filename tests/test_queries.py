@@ -3,7 +3,10 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein import queries
+from skein.operators import evaluation
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,3 +39,17 @@ def test_query(spark, name):
         check(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
     else:
         assert queries.QUERIES[name](spark, DIR).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver tables")
+@pytest.mark.parametrize("folder", [DIR, "/root/testdata/sf0.1"])
+def test_recall_of_ivf_probe(spark, folder):
+    e = spark.read.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    exact = con.execute("""SELECT a.vec_id, b.vec_id FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0
+        QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 10""").fetchall()
+    found = queries.QUERIES["ivf_probe"](spark, folder).select(F.col("target").alias("query"), F.col("vec_id").alias("item"))
+    recall = evaluation.neighbour_recall(spark.createDataFrame(exact, "query long, item long"), found).collect()
+    assert len(recall) == e.filter("vec_id % 100 = 0").count() and len(exact) == found.count()
+    assert min(r["recall"] for r in recall) >= 0.9
