@@ -1,11 +1,14 @@
 """CSV with a report of the rows that were not accepted.
 
 Every field is read as text and converted by column expressions; a row's first failing field is its error. Nothing
-is inferred, and files of any size are split among executors as Spark's reader does.
+is inferred but each file's encoding, and files of any size are split among executors as Spark's reader does.
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ from ..plans.binder import Column, Schema
 from ..plans.errors import ExecutionError
 
 REPORTED = 100
+#: Spark's reader knows no cp1252; it differs from Latin 1 in these characters only.
+_READ = {"utf-8": "utf-8", "cp1252": "iso-8859-1"}
+_BYTES = bytes(i for i in range(0x80, 0xA0) if i not in b"\x81\x8d\x8f\x90\x9d")
+_CP1252 = (_BYTES.decode("latin-1"), _BYTES.decode("cp1252"))
 
 
 def delimiter_of(header: str) -> str:
@@ -22,12 +29,22 @@ def delimiter_of(header: str) -> str:
     return max(",;\t", key=header.count)
 
 
-def encoding_of(sample: bytes) -> str:
-    try:
-        sample.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return "cp1252" if e.start < len(sample) - 4 else "utf-8"
-    return "utf-8"
+def encodings_of(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files by encoding, each by all of its bytes: UTF-8, or cp1252 for a file that is not UTF-8 and has no
+    multi-byte sequence of it. A file that is neither is refused."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    valid = F.is_valid_utf8("value")
+    neither = F.bool_or(latin.rlike(r"[\xc2-\xf4][\x80-\xbf]")) | F.bool_or(latin.rlike(r"[\x81\x8d\x8f\x90\x9d]"))
+    out: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.bool_and(valid).alias("utf8"), neither.alias("neither")).orderBy("file").collect():
+        if not r["utf8"] and r["neither"]:
+            own = lines.filter(F.col("file") == r["file"]).withColumn("n", F.monotonically_increasing_id())
+            bad = own.filter(~valid).orderBy("start", "n").first()
+            line = own.filter((F.col("start") < bad["start"]) | (F.col("start") == bad["start"]) & (F.col("n") <= bad["n"])).count()
+            raise ExecutionError(f"{unquote(r['file'])}, line {line}: a byte that is not UTF-8")
+        out.setdefault("utf-8" if r["utf8"] else "cp1252", []).append(unquote(r["file"]))
+    return out
 
 
 def _converted(column: Column, raw: SparkColumn, comma: bool) -> tuple[SparkColumn, SparkColumn]:
@@ -57,11 +74,12 @@ def _converted(column: Column, raw: SparkColumn, comma: bool) -> tuple[SparkColu
 def read_csv(spark: SparkSession, path: str, schema: Schema) -> tuple[DataFrame, DataFrame]:
     """(accepted rows with the schema's columns, rejected rows: error, raw). The header is mandatory; its names may differ
     in case."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("c")).first()
-    if head is None or not head["c"]:
+    encodings = encodings_of(spark, path)
+    head = spark.read.text(path).select(F.col("value").cast("binary").alias("c"), F.col("_metadata.file_path").alias("file")).first()
+    if head is None:
         raise ExecutionError("the file is empty; a header is needed")
-    encoding = encoding_of(bytes(head["c"]))
-    header = bytes(head["c"]).decode(encoding, "replace").lstrip("﻿").splitlines()[0]
+    own = next(e for e, files in encodings.items() if unquote(head["file"]) in files)
+    header = bytes(head["c"]).decode(own).lstrip("﻿")
     sep = delimiter_of(header)
     names = [h.strip().strip('"') for h in header.split(sep)]
     places = []
@@ -71,7 +89,13 @@ def read_csv(spark: SparkSession, path: str, schema: Schema) -> tuple[DataFrame,
             raise ExecutionError(f"the header has no column {c.name}" if not hit else f"the header has column {c.name} twice")
         places.append(hit[0])
     fields = T.StructType([*(T.StructField(f"_f{i}", T.StringType()) for i in range(len(names))), T.StructField("_raw", T.StringType())])
-    rows = spark.read.csv(path, schema=fields, header=True, sep=sep, encoding=encoding, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", enforceSchema=True, nullValue="\0", emptyValue="", multiLine=False)
+    rows = None
+    for encoding, files in encodings.items():
+        names_of = path if len(encodings) == 1 else [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in files]
+        part = spark.read.csv(names_of, schema=fields, header=True, sep=sep, encoding=_READ[encoding], mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", enforceSchema=True, nullValue="\0", emptyValue="", multiLine=False)
+        if encoding == "cp1252":
+            part = part.select(*(F.translate(c, *_CP1252).alias(c) for c in part.columns))
+        rows = part if rows is None else rows.unionByName(part)
     values, errors = [], [F.when(F.col("_raw").isNotNull(), F.lit("wrong number of fields"))]
     for c, i in zip(schema.columns, places, strict=True):
         v, e = _converted(c, F.col(f"_f{i}"), sep == ";")

@@ -117,6 +117,26 @@ def test_csv(db, tmp_path):
         db.load_csv("p", str(tmp_path / "p.csv"))
 
 
+def test_csv_encoding_is_of_all_bytes(db, tmp_path):
+    db.execute("CREATE TABLE e (id INT PRIMARY KEY, s VARCHAR(80))")
+    plain = "".join(f"{i},{'x' * 60}\n" for i in range(2000))
+    f = tmp_path / "late.csv"
+    f.write_bytes(("id,s\n" + plain + "2000,señal €\n").encode("cp1252"))
+    assert db.load_csv("e", str(f)).loaded == 2001
+    assert db.execute("SELECT s FROM e WHERE id = 2000").rows == [("señal €",)]
+    folder = tmp_path / "a folder [1]"
+    folder.mkdir()
+    (folder / "u.csv").write_text("id,s\n3000,añoש\n", encoding="utf-8")
+    (folder / "c {x}.csv").write_bytes("id,s\n3001,café\n".encode("cp1252"))
+    assert db.load_csv("e", str(folder).replace("[", "\\[").replace("]", "\\]")).loaded == 2
+    assert db.execute("SELECT s FROM e WHERE id >= 3000 ORDER BY id").rows == [("añoש",), ("café",)]
+    for name, body, line in [("mixed", "id,s\n4000,ñu\n".encode() + b"4001,\xf1u\n", 3), ("late-mixed", ("id,s\n4002,ñu\n" + plain).encode() + b"4003,\xf1u\n", 2003), ("undefined", b"id,s\n4004,\x81\n", 2)]:
+        (tmp_path / f"{name}.csv").write_bytes(body)
+        with pytest.raises(ExecutionError, match=f"line {line}: a byte that is not UTF-8"):
+            db.load_csv("e", str(tmp_path / f"{name}.csv"))
+    assert len(db.execute("SELECT id FROM e").rows) == 2003
+
+
 def test_partitioned_tables_are_checked(db):
     db.execute("CREATE TABLE items (id INT PRIMARY KEY, s VARCHAR(8)) PARTITION BY RANGE (id) (PARTITION a VALUES LESS THAN (10) ON n1, PARTITION b VALUES LESS THAN (MAXVALUE) ON n2)")
     with pytest.raises(SQLSemanticError):
