@@ -26,20 +26,32 @@ GIVEN = {
     "x": "Alex Andrea Ariel Charlie Dana Eden Jamie Jean Jordan Kai Kim Lee Lou Luca Maxime Mika Morgan Nicola Noa Quinn Reese Remy Robin Rowan Sam Sasha Sidney Taylor Toni Val Yael Yuri".split(),
 }
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-#: Java patterns by type, in order of precedence; none has a capturing group.
+#: Before a secret: a keyword, alone or as a part of a name with '_' or '-', and an assignment.
+_NAMED = r"(?<![A-Za-z0-9])(?i:token|api_key|apikey|key|secret|password|passwd)(?:[_-][A-Za-z0-9]{1,16}(?:[_-][A-Za-z0-9]{1,16})?)? {0,2}[:=] {0,2}[\"']?"
+#: Java patterns by type, in order of precedence; none has a capturing group. Runs of up to 256 digits, and of groups after
+#: what may begin an IBAN, are matched whole; parts_of() finds the cards and IBANs in them.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z][A-Za-z0-9-]{0,23}[A-Za-z0-9]",
-    "secret": r"(?<=\b(?i:token|api_key|apikey|key|secret|password|passwd) {0,2}[:=] {0,2}[\"']?)[A-Za-z0-9_+/\-]{8,}={0,2}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "secret": rf"(?<=[:= \"'])(?<=[:=] {{0,2}}[\"']?)(?<={_NAMED})[A-Za-z0-9_+/\-]{{8,}}={{0,2}}",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,60}(?: ?[A-Z0-9]{1,3})?\b(?![A-Za-z0-9._%+-]{0,64}@|-[0-9]{2}-|\.[0-9]{1,3}\.[0-9])",
     "phone": r"(?<![\w.+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])",
+    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,255}(?![\w-]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\w|\.[0-9])",
     "name": rf"(?<=\b(?:{_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these has no entity; spares most texts the full pattern.
-CUE = rf"[@0-9]|\b(?:{_TITLE})\.? \p{{Lu}}|(?i:token|key|secret|passw(?:or)?d) {{0,2}}[:=]"
+CUE = rf"[@0-9]|\b(?:{_TITLE})\.? \p{{Lu}}|(?i:token|key|secret|passw(?:or)?d)(?:[_-][A-Za-z0-9]{{1,16}}){{0,2}} {{0,2}}[:=]"
+#: Characters of an IBAN by country; what begins like one has its length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})(?: ?[A-Z0-9]){{{n - 2}}}" for n, c in IBAN_LENGTHS.items())
+_SSN = r"\A[0-9]{3}-[0-9]{2}-[0-9]{4}\z"
+#: Forms that cards are written in; other groups of 13 to 19 digits are tried after them.
+_USUAL = r"\A(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})\z"
 
 
 def _digits(value: Column) -> Column:
@@ -74,9 +86,36 @@ def kind_of(value: Column) -> Column:
     out = None
     for k, fits in bare.items():
         out = F.when(fits, k) if out is None else out.when(fits, k)
-    card = value.rlike(r"\A[0-9](?:[ -]?[0-9]){12,18}\z")
-    iban = value.rlike(r"\A[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\z")
-    return out.when(card, F.when(_check_sum(_digits(value)) % 10 == 0, "card")).when(iban, F.when(_iban_rest(value) == 1, "iban")).when(value.rlike(r"[0-9]|\A\S{16,}\z"), "secret").when(value.rlike(r"\A\p{Lu}"), "name")
+    card = value.rlike(r"\A[0-9](?:[ -]?[0-9]){12,}\z")
+    iban = value.rlike(r"\A[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,}(?: ?[A-Z0-9]{1,3})?\z")
+    return out.when(card, F.when((F.char_length(_digits(value)) < 20) & (_check_sum(_digits(value)) % 10 == 0), "card")).when(iban, F.when((F.char_length(F.replace(value, F.lit(" "), F.lit(""))) < 36) & (_iban_rest(value) == 1), "iban")).when(value.rlike(r"[0-9]|\A\S{16,}\z"), "secret").when(value.rlike(r"\A\p{Lu}"), "name")
+
+
+def parts_of(value: Column) -> Column:
+    """A run without a kind of its own, as an array of (kind, value) that joined give the run: the cards and IBANs that
+    pass their checks, and what is between them with a null kind; also social security numbers that such a run took in. They begin where a group does, and end where one does or
+    where the country's IBAN does. Overlaps go to an IBAN, then to a usual form of a card, then to the first and longest."""
+    words = F.regexp_extract_all(value, F.lit(r"[A-Z0-9]+[ -]?"), F.lit(0))
+    starts = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.char_length(F.array_join(F.slice(words, F.lit(1), i), "")))
+
+    def windows(s: Column, i: Column) -> Column:
+        ends = F.transform(F.sequence(i + 1, F.least(F.size(words), i + 19)), lambda j: F.rtrim(F.rtrim(F.array_join(F.slice(words, i + 1, j - i), "")), F.lit("-")))
+        ends = F.array_append(ends, F.regexp_extract(F.substr(value, s + 1), rf"\A(?:{_BY_COUNTRY})", 0))
+        ends = F.filter(F.array_distinct(ends), lambda w: w.rlike(r"\A(?:[ -]?[A-Z0-9]){13,35}\z") | w.rlike(_SSN) & (F.substr(value, s, F.lit(1)) != "-") & (F.substr(value, s + 12, F.lit(1)) != "-"))
+        return F.transform(ends, lambda w: F.struct(kind_of(w).alias("kind"), s.alias("s"), w.alias("w")))
+
+    valid = F.filter(F.flatten(F.transform(starts, windows)), lambda x: x["kind"].isin("card", "iban", "ssn"))
+    rank = lambda x: F.struct(F.when(x["kind"] == "iban", 0).when(x["w"].rlike(_USUAL), 1).when(x["kind"] == "ssn", 2).otherwise(3).alias("o"), x["s"].alias("s"), (-F.char_length(x["w"])).alias("l"), x["kind"].alias("kind"), x["w"].alias("w"))
+    taken = F.array().cast("array<struct<s: int, e: int, kind: string, w: string>>")
+    free = lambda acc, x: ~F.exists(acc, lambda t: (t["s"] < x["s"] - x["l"]) & (x["s"] < t["e"]))
+    one = lambda x: F.struct(x["s"].alias("s"), (x["s"] - x["l"]).alias("e"), x["kind"].alias("kind"), x["w"].alias("w"))
+    chosen = F.array_sort(F.aggregate(F.array_sort(F.transform(valid, rank)), taken, lambda acc, x: F.when(free(acc, x), F.array_append(acc, one(x))).otherwise(acc)))
+    part = lambda kind, w: F.struct(kind.cast("string").alias("kind"), w.alias("value"))
+    begin = F.struct(F.lit(0).alias("e"), F.array().cast("array<struct<kind: string, value: string>>").alias("parts"))
+    gap = lambda acc, x: part(F.lit(None), F.substr(value, acc["e"] + 1, x["s"] - acc["e"]))
+    put = lambda acc, x: F.struct(x["e"].alias("e"), F.concat(acc["parts"], F.array(gap(acc, x), part(x["kind"], x["w"]))).alias("parts"))
+    rest = lambda acc: F.array_append(acc["parts"], part(F.lit(None), F.substr(value, acc["e"] + 1)))
+    return F.filter(F.aggregate(chosen, begin, put, rest), lambda x: x["value"] != "")
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -172,11 +211,16 @@ def replace_entities(docs: DataFrame, key: str = "skein", tries: int = 24, id_co
     """
     inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     cued = inner.filter(F.col("text").rlike(CUE)).withColumn("th", F.xxhash64("text")).select("id", "th", "text")
-    parts = cued.select("id", "th", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("values"), F.transform(F.split("text", ANY, -1), lambda p: F.right(p, F.lit(14))).alias("before")).filter("size(values) > 0")
+    parts = cued.select("id", "th", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("values"), F.transform(F.split("text", ANY, -1), lambda p: F.right(p, F.lit(64))).alias("before")).filter("size(values) > 0")
     each = parts.select("id", "th", F.posexplode("values").alias("n", "value"), "before")
     title = F.regexp_extract(F.element_at("before", F.col("n") + 1), rf"({_TITLE})\.? \z", 1)
     gender = F.when(title.isin(TITLES["f"]), "f").when(title.isin(TITLES["m"]), "m").otherwise("x")
-    each = each.select("id", "th", "n", "value", kind_of(F.col("value")).alias("kind"), gender.alias("gender"))
+    secret = F.col("value").rlike(r"\A[A-Za-z0-9_+/\-]{8,}={0,2}\z") & F.col("value").rlike(r"[0-9]|\A\S{16,}\z") & F.element_at("before", F.col("n") + 1).rlike(rf"{_NAMED}\z")
+    each = each.select("id", "th", "n", "value", F.coalesce(kind_of(F.col("value")), F.when(secret, "secret")).alias("kind"), gender.alias("gender"))
+    run = F.col("kind").isNull() & F.col("value").rlike(r"\A[A-Z0-9](?:[ -]?[A-Z0-9]){12,}\z")
+    whole = F.array(F.struct("kind", "value"))
+    each = each.select("id", "th", "n", F.posexplode(F.when(run, parts_of(F.col("value"))).otherwise(whole)).alias("m", "part"), "gender")
+    each = each.select("id", "th", "n", "m", "part.value", "part.kind", "gender")
     mentions = materialise(each.withColumn("canon", canonical(F.col("kind"), F.col("value"))), "mentions")
 
     # Collisions among the surrogates of all distinct entities, and with real ones.
@@ -201,16 +245,18 @@ def replace_entities(docs: DataFrame, key: str = "skein", tries: int = 24, id_co
     gendered = small(materialise(entities.filter("kind = 'name'").select(F.col("canon").alias("gc"), F.col("gender").alias("g")), "genders"))
     known = mentions.join(again, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left").join(gendered, (F.col("kind") == "name") & (F.col("canon") == F.col("gc")), "left")
     known = known.withColumns({"attempt": F.coalesce("attempt", F.lit(0)), "gender": F.coalesce("g", "gender")})
-    said = with_surrogates(known, key).select("id", "th", F.struct("n", "kind", F.coalesce("made", "value").alias("put")).alias("m"))
+    said = with_surrogates(known, key).select("id", "th", "n", F.struct("m", "kind", F.coalesce("made", "value").alias("put")).alias("m"))
+    said = said.groupBy("id", "th", "n").agg(F.array_sort(F.collect_set("m")).alias("own"))
+    said = said.select("id", "th", F.struct("n", F.array_join(F.col("own.put"), "").alias("put"), F.filter("own", lambda m: m["kind"].isNotNull()).alias("own")).alias("m"))
     per_text = said.groupBy("id", "th").agg(F.array_sort(F.collect_set("m")).alias("ms"))
-    per_text = materialise(per_text.filter(F.exists("ms", lambda m: m["kind"].isNotNull())).select(F.col("id").alias("_pid"), F.col("th").alias("_pth"), "ms"), "surrogates")
+    per_text = materialise(per_text.filter(F.exists("ms", lambda m: F.size(m["own"]) > 0)).select(F.col("id").alias("_pid"), F.col("th").alias("_pth"), "ms"), "surrogates")
 
     empty = F.array().cast("array<struct<kind: string, surrogate: string>>")
     flagged = marked(docs.drop("entities").withColumn("_th", F.xxhash64(text_col)), F.xxhash64(id_col, "_th"), per_text.select(F.xxhash64("_pid", "_pth").alias("h")))
     clean = flagged.filter("not maybe").withColumn("entities", empty)
     held = flagged.filter("maybe").join(per_text, F.col(id_col).eqNullSafe(F.col("_pid")) & (F.col("_th") == F.col("_pth")), "left")
     woven = F.array_join(F.flatten(F.zip_with(F.split(text_col, ANY, -1), F.transform("ms", lambda m: m["put"]), lambda p, q: F.array(p, F.coalesce(q, F.lit(""))))), "")
-    listed = F.transform(F.filter("ms", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["put"].alias("surrogate")))
+    listed = F.transform(F.flatten("ms.own"), lambda m: F.struct(m["kind"].alias("kind"), m["put"].alias("surrogate")))
     held = held.withColumn("entities", F.coalesce(listed, empty)).withColumn(text_col, F.when(F.col("ms").isNull(), F.col(text_col)).otherwise(woven))
     columns = [*(F.col(c) for c in docs.columns if c != "entities"), F.col("entities")]
     return clean.select(columns).unionByName(held.select(columns))

@@ -441,6 +441,30 @@ def test_op10_surrogates(spark):
     assert surrogates.replace_entities(frame(spark, [])).count() == 0
 
 
+def test_op10_finds_entities_beside_digits_and_capitals(spark):
+    card, iban = "4539 1488 0343 6467", "ES91 2100 0418 4502 0005 1332"
+    bare = card.replace(" ", "")
+    cases = [
+        (f"no 2 {bare} end", ["card"], [bare]),
+        (f"card {card} 123 end", ["card"], [card]),
+        (f"pay {iban} BIC now", ["iban"], [iban]),
+        (f"pay {iban.replace(' ', '')}BIC now", ["iban"], [iban.replace(" ", "")]),
+        (f"pay AB12 {iban} {card} now", ["iban", "card"], [iban, card]),
+        (f"two {card} {bare} 77", ["card", "card"], [card, bare]),
+        (f"1 2 3 4 5 {card} and {bare} 123-45-6789", ["card", "card", "ssn"], [card, bare, "123-45-6789"]),
+        (f"pay {iban} 10.20.30.40", ["iban", "ip"], [iban, "10.20.30.40"]),
+        ("access_token=abcdefgh12 client_secret: 'zyxwvuts98' secret_key=qrstuvwx77", ["secret"] * 3, ["abcdefgh12", "zyxwvuts98", "qrstuvwx77"]),
+        ("token=1234567890123 key-id = 12345678901234567890 my-password: abcdefghijklmnopq", ["secret"] * 3, ["1234567890123", "12345678901234567890", "abcdefghijklmnopq"]),
+        ("monkey=abcdefgh12 and 1234567890123 stay, as 11112222333344445", [], []),
+    ]
+    got = {r["doc_id"]: r for r in surrogates.replace_entities(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (text, kinds, gone) in enumerate(cases):
+        assert [e["kind"] for e in got[i]["entities"]] == kinds, text
+        assert not any(g in got[i]["text"] for g in gone) and len(got[i]["text"]) == len(text) or "ip" in kinds
+        assert got[i]["text"] == text or kinds
+        assert re.sub("[A-Za-z0-9]", "", got[i]["text"]) == re.sub("[A-Za-z0-9]", "", text)
+
+
 def test_op10_collisions_keep_entities_apart(spark):
     rows = [(i, f"mail {c}@x.com and {c}@y.org") for i, c in enumerate("abcdefghij")]
     got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
