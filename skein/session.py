@@ -339,9 +339,10 @@ class Session:
             if [c.kind for c in schema.columns] != ["INT", "VARCHAR", "VARCHAR", "VECTOR"]:
                 raise ExecutionError("a media table has columns id INT, nombre VARCHAR, ruta VARCHAR, rasgos VECTOR")
             good, bad = media_load.load_media(self.spark, folder, self._vocabulary(table, schema.columns[3].name))
-            errors = [tuple(r) for r in bad.limit(csv_load.REPORTED).collect()]
+            n_bad = bad.count()
+            errors = [tuple(r) for r in bad.limit(csv_load.REPORTED).collect()] if n_bad else []
             first = self.tables.state[table]["next_rid"]
             names = [c.name for c in schema.columns]
             order = F.row_number().over(Window.orderBy("ruta"))
             rows = good.withColumn("id", (order + F.lit(first)).cast("int")).toDF(*names)
-            return CsvReport(self.tables.append(table, rows), len(errors), errors)
+            return CsvReport(self.tables.append(table, rows), n_bad, errors)

@@ -1,10 +1,13 @@
 import datetime
 import threading
 
+import numpy as np
 import pytest
 
+from skein.functions import media
 from skein.plans.errors import ExecutionError, SQLSemanticError, SQLUnsupportedError
 from skein.session import Locks, Session
+from skein.sources import csv_load
 
 
 @pytest.fixture()
@@ -141,3 +144,13 @@ def test_partitioned_tables_are_checked(db):
     db.execute("CREATE TABLE items (id INT PRIMARY KEY, s VARCHAR(8)) PARTITION BY RANGE (id) (PARTITION a VALUES LESS THAN (10) ON n1, PARTITION b VALUES LESS THAN (MAXVALUE) ON n2)")
     with pytest.raises(SQLSemanticError):
         db.execute("CREATE TABLE j (id INT PRIMARY KEY) PARTITION BY RANGE (id) (PARTITION a VALUES LESS THAN (10) ON n1, PARTITION b VALUES LESS THAN (5) ON n2)")
+
+
+def test_all_unreadable_media_are_counted(db, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_load, "REPORTED", 2)
+    for i in range(5):
+        (tmp_path / f"{i}.wav").write_bytes(b"no sound")
+    db.execute("CREATE TABLE m (id INT PRIMARY KEY, nombre VARCHAR(40), ruta VARCHAR(400), rasgos VECTOR(4))")
+    db.register_vocabulary("m", media.build_vocabulary([np.random.default_rng(1).normal(size=(40, 13))], 4))
+    got = db.load_media("m", str(tmp_path))
+    assert (got.loaded, got.rejected, len(got.errors)) == (0, 5, 2)
