@@ -203,7 +203,7 @@ def doc_norms(spark, d):
 @query()
 def match_stemmed(spark, d):
     """The whole analyzer (stopwords, stems) in one Arrow UDF; no SQL says the same."""
-    index = text_search.build_index(table(spark, d, "documents").filter("lang = 'es'"), "doc_id", "text")
+    index = text_search.build_index(table(spark, d, "documents"), "doc_id", "text")
     return text_search.rank(text_search.bm25(index, "ciones mentes"), 20)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import queries
-from skein.operators import evaluation
+from skein.operators import evaluation, text_search
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,3 +53,11 @@ def test_recall_of_ivf_probe(spark, folder):
     recall = evaluation.neighbour_recall(spark.createDataFrame(exact, "query long, item long"), found).collect()
     assert len(recall) == e.filter("vec_id % 100 = 0").count() and len(exact) == found.count()
     assert min(r["recall"] for r in recall) >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver tables")
+def test_match_stemmed_indexes_all_documents(spark, monkeypatch):
+    seen, build = [], text_search.build_index
+    monkeypatch.setattr(text_search, "build_index", lambda t, *a, **b: seen.append(t.count()) or build(t, *a, **b))
+    queries.QUERIES["match_stemmed"](spark, DIR)
+    assert seen == [spark.read.parquet(f"{DIR}/documents.parquet").count()]
