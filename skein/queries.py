@@ -234,6 +234,20 @@ for _m in _SCORES:
     QUERIES[f"knn_{_m}"], ORACLE_SQL[f"knn_{_m}"] = _knn(_m), _knn_sql(_m)
 
 
+def _knn_all_sql(metric: str, k: int = 10) -> str:
+    f, way = _SCORES[metric]
+    s = f"{f}(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+    return f"SELECT '{metric}' AS metric, a.vec_id AS target, b.vec_id, round({s}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {s} {way}, b.vec_id) <= {k}"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_knn_all_sql(m)})" for m in _SCORES))
+def knn_all(spark, d):
+    """The neighbours of every vec_id divisible by 100 among all rows, by each metric."""
+    e = table(spark, d, "embeddings")
+    found = [vector_search.nearest_all(e, "embedding", e.filter("vec_id % 100 = 0"), 10, m, "vec_id").select(F.lit(m).alias("metric"), "target", "vec_id", F.round("score", 6).alias("score")) for m in _SCORES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(_knn_sql("cosine", 7).replace("AS score", "AS nearness"))
 def similarity_score(spark, d):
     v = ", ".join(f"{x:.12f}" for x in _target(spark, d))
