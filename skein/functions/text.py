@@ -16,29 +16,28 @@ IGNORED = re.compile("[̀-ͯ­]")
 WORD = re.compile(r"[^\W_]+")
 ACRONYM = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.){2,}(?:[^\W\d_](?![^\W_]))?")
 
-#: Spanish function words; forms of estar, haber, ser and tener follow from the tables below.
+#: The Spanish stopword list of the Snowball project, whole and in its published order.
 SPANISH_WORDS = """
 de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre
 cuando muy sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante
 ellos e esto mí antes algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella
 estar estas algunas algo nosotros mi mis tú te ti tu tus ellas nosotras vosostros vosostras os mío mía míos mías tuyo tuya
 tuyos tuyas suyo suya suyos suyas nuestro nuestra nuestros nuestras vuestro vuestra vuestros vuestras esos esas
-estoy estás está estamos estáis están esté estés estemos estéis estén estando estado estada estados estadas estad
-he has ha hemos habéis han haya hayas hayamos hayáis hayan habiendo habido habida habidos habidas
-soy eres es somos sois son sea seas seamos seáis sean era eras éramos erais eran
-fui fuiste fue fuimos fuisteis fueron sintiendo sentido sentida sentidos sentidas siente sentid
-tengo tienes tiene tenemos tenéis tienen tenga tengas tengamos tengáis tengan teniendo tenido tenida tenidos tenidas tened
+estoy estás está estamos estáis están esté estés estemos estéis estén estaré estarás estará estaremos estaréis estarán
+estaría estarías estaríamos estaríais estarían estaba estabas estábamos estabais estaban estuve estuviste estuvo estuvimos
+estuvisteis estuvieron estuviera estuvieras estuviéramos estuvierais estuvieran estuviese estuvieses estuviésemos
+estuvieseis estuviesen estando estado estada estados estadas estad
+he has ha hemos habéis han haya hayas hayamos hayáis hayan habré habrás habrá habremos habréis habrán habría habrías
+habríamos habríais habrían había habías habíamos habíais habían hube hubiste hubo hubimos hubisteis hubieron hubiera
+hubieras hubiéramos hubierais hubieran hubiese hubieses hubiésemos hubieseis hubiesen habiendo habido habida habidos habidas
+soy eres es somos sois son sea seas seamos seáis sean seré serás será seremos seréis serán sería serías seríamos seríais
+serían era eras éramos erais eran fui fuiste fue fuimos fuisteis fueron fuera fueras fuéramos fuerais fueran fuese fueses
+fuésemos fueseis fuesen sintiendo sentido sentida sentidos sentidas siente sentid
+tengo tienes tiene tenemos tenéis tienen tenga tengas tengamos tengáis tengan tendré tendrás tendrá tendremos tendréis
+tendrán tendría tendrías tendríamos tendríais tendrían tenía tenías teníamos teníais tenían tuve tuviste tuvo tuvimos
+tuvisteis tuvieron tuviera tuvieras tuviéramos tuvierais tuvieran tuviese tuvieses tuviésemos tuvieseis tuviesen
+teniendo tenido tenida tenidos tenidas tened
 """
-#: Stems and endings of the tenses that are formed alike.
-SPANISH_TENSES = [
-    (["estar", "habr", "ser", "tendr"], ["é", "ás", "á", "emos", "éis", "án", "ía", "ías", "íamos", "íais", "ían"]),
-    (["estab"], ["a", "as", "ais", "an"]),
-    (["estáb"], ["amos"]),
-    (["hab", "ten"], ["ía", "ías", "íamos", "íais", "ían"]),
-    (["estuv", "hub", "tuv"], ["e", "iste", "o", "imos", "isteis", "ieron"]),
-    (["estuvie", "hubie", "fue", "tuvie"], ["ra", "ras", "rais", "ran", "se", "ses", "seis", "sen"]),
-    (["estuvié", "hubié", "fué", "tuvié"], ["ramos", "semos"]),
-]
 #: English function words.
 ENGLISH_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
@@ -60,8 +59,7 @@ def stopwords(language: str) -> frozenset[str]:
         return frozenset(ENGLISH_WORDS.split())
     if language != "spanish":
         raise ValueError(f"unknown language {language!r}")
-    formed = {s + e for stems, ends in SPANISH_TENSES for s in stems for e in ends}
-    return frozenset(SPANISH_WORDS.split()) | formed
+    return frozenset(SPANISH_WORDS.split())
 
 
 def _after(word: str, start: int, wanted) -> int:
