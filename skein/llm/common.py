@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -20,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local test session) a folder of our own is made and set.
+    Only a local session (as in tests) may lack it; then a folder of our own is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -33,14 +36,56 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it again; `path` of the result says where.
 
     Cuts the lineage: a lost executor loses nothing that was written.
     """
-    path = shared_path(df.sparkSession, name)
+    path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs. Spark deletes them once the driver has collected the garbage that
+    refers to them, which may not happen for half an hour by itself."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own. drop() deletes those that nothing reads any more,
+    the end of the with block all; only what result() wrote stays.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.root, self.made = spark, name, shared_path(spark, name), 0
+
+    def __enter__(self):
+        return self
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        return materialise(df, name, f"{self.root}/{self.made:03d}-{name}")
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, t.scratch_path)
+        sweep(self.spark)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        return materialise(df, f"{self.name}-result")
+
+    def __exit__(self, *_):
+        delete(self.spark, self.root)
+        sweep(self.spark)
 
 
 def ascii_lower(text: Column) -> Column:

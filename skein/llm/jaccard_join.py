@@ -18,9 +18,12 @@ looked up by their rarest n-grams instead, so that what all of them share brings
 Signatures are matched part by part. A part that one signature makes several times heavier than the average is
 matched by plain aggregates and a join that Spark can split, so no bucket has to fit in one task.
 
-Verification. Partial overlaps are counted fragment by fragment and summed per pair, and the sum
-decides. Exact up to collisions of 64-bit hashes; two unequal sets with one 64-bit digest, or a set with too
-few filled fragments, are noticed, and the join starts again with another seed and more fragments.
+Short sets. A set with too few filled fragments also gives each of its n-grams as a signature, so two such sets
+meet as well; a set that is short and one that is not meet in a fragment of the latter.
+
+Verification. Segments are sent to the leader they are compared with, partial overlaps are counted fragment by
+fragment and summed per pair, and the sum decides. Classes are told apart by two 64-bit digests; where unlike sets
+share the first, all but one get another key. Exact up to collisions of the 64-bit hashes of n-grams.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small, thinned
+from .common import Scratch, small, thinned
 from .components import components
 from .shingles import GROUP_BYTES, Shingler, mix
 
@@ -93,56 +96,63 @@ def _digests(hashed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64), (total2[at[1:]] - total2[at[:-1]]).view(np.int64), mixed
 
 
-ROWS = "id {kind}, n int, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", own array<long>, low array<long>, n_own int, n_low int, d_own int, d_low int, short boolean"
+ROWS = "id {kind}, th long, n int, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", own array<long>, low array<long>, n_own int, n_low int, d_own int, d_low int"
+#: Signatures that a short set is taken to need: more than it can have, so it passes over none.
+ALL = (1 << 31) - 1
+
 
+def _own(part: np.ndarray, space: int, need: int, plan: Plan) -> tuple[np.ndarray, int]:
+    """Signatures of a set in a class, and how many it must keep. A short set adds its n-grams, in a class of their own."""
+    found = signatures(part, space, plan)
+    if len(found) > need:
+        return found, need
+    return np.concatenate([found, mix(part ^ np.uint64(0x5851F42D4C957F2D + space))]), ALL
 
-def _describe(k: int, seed: int, num: int, den: int, slack: float):
+
+def _describe(k: int, num: int, den: int, slack: float, digest_bits: int):
     def run(batches):
         import pyarrow as pa
 
-        plan, shingler = Plan(num, den, slack), Shingler(k, seed)
-        sent: set[int] = set()
+        plan, shingler = Plan(num, den, slack), Shingler(k)
+        sent: set[tuple[int, int]] = set()
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             for i, j, text, hashed in shingler.sets(texts):
                 m = j - i
                 n = np.bincount(text, minlength=m)
                 at = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
                 d1, d2, mixed = _digests(hashed, n)
+                d1 >>= 64 - digest_bits
                 bits = np.bincount(text * (64 * SKETCH) + (mixed % np.uint64(64 * SKETCH)).astype(np.int64), minlength=m * 64 * SKETCH) & 1
                 sketch = np.packbits(bits.astype(np.uint8).reshape(m, -1), axis=1).view(np.int64)
                 space = plan.space(n)
-                own, low, counts, short = [], [], [], []
+                own, low, counts = [], [], []
                 for t in range(m):
                     size, c = int(n[t]), int(space[t])
-                    if not size:
-                        own.append(None), low.append(None), counts.append((0, 0, 0, 0)), short.append(False)
+                    key = int(d1[t]), int(d2[t])
+                    if not size or key in sent:  # a copy: its class has been described by this task
+                        own.append(None), low.append(None), counts.append((0, 0, 0, 0))
                         continue
+                    if len(sent) >= 1_000_000:
+                        sent.clear()
+                    sent.add(key)
                     part = hashed[at[t] : at[t + 1]]
-                    x = signatures(part, c, plan)
-                    y = signatures(part, c - 1, plan) if plan.lower(size, c) else x[:0]
-                    need_x, need_y = plan.differ(size, c, True), plan.differ(size, c - 1, False) if len(y) else 0
+                    x, need_x = _own(part, c, plan.differ(size, c, True), plan)
+                    y, need_y = _own(part, c - 1, plan.differ(size, c - 1, False), plan) if plan.lower(size, c) else (x[:0], 0)
                     counts.append((len(x), len(y), need_x, need_y))
-                    short.append(len(x) <= need_x or (len(y) > 0 and len(y) <= need_y))
-                    key = int(d1[t])
-                    if key in sent:  # a copy: its class has been described by this task
-                        own.append(None), low.append(None)
-                    else:
-                        if len(sent) >= 1_000_000:
-                            sent.clear()
-                        sent.add(key)
-                        own.append(x.view(np.int64)), low.append(y.view(np.int64))
+                    own.append(x.view(np.int64)), low.append(y.view(np.int64))
                 counts = np.array(counts, dtype=np.int32).reshape(m, 4)
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (own, low)]
                 none = n == 0
-                columns = [b.column(0).slice(i, m), pa.array(n.astype(np.int32)), pa.array(d1, mask=none), pa.array(d2, mask=none), *(pa.array(np.ascontiguousarray(sketch[:, s])) for s in range(SKETCH)), *lists, *(pa.array(np.ascontiguousarray(counts[:, c])) for c in range(4)), pa.array(short)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", *(f"s{s}" for s in range(SKETCH)), "own", "low", "n_own", "n_low", "d_own", "d_low", "short"])
+                columns = [b.column(0).slice(i, m), b.column(1).slice(i, m), pa.array(n.astype(np.int32)), pa.array(d1, mask=none), pa.array(d2, mask=none), *(pa.array(np.ascontiguousarray(sketch[:, s])) for s in range(SKETCH)), *lists, *(pa.array(np.ascontiguousarray(counts[:, c])) for c in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "d1", "d2", *(f"s{s}" for s in range(SKETCH)), "own", "low", "n_own", "n_low", "d_own", "d_low"])
 
     return run
 
 
 def _dealt(parts: int):
-    """Signatures of many documents, sorted into parts: one row for each part and batch."""
+    """Signatures of many documents, sorted into parts: one row for each part and batch. The part, from the upper half
+    of a signature, and its lower half stand for it; what else falls together is told apart by the bounds on pairs."""
 
     def run(batches):
         import pyarrow as pa
@@ -157,7 +167,7 @@ def _dealt(parts: int):
                 key = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
                 part = ((sig.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                sig, key, part = sig[order], key[order], part[order]
+                sig, key, part = sig.astype(np.int32)[order], key[order], part[order]
                 first = np.flatnonzero(np.diff(part, prepend=-1))
                 offsets = pa.array(np.concatenate([first, [len(part)]]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.full(len(first), side, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(sig)), pa.ListArray.from_arrays(offsets, pa.array(key))], ["part", "side", "sigs", "keys"])
@@ -187,95 +197,141 @@ def _matched():
         classes = np.bincount(run_of, minlength=1)[run_of] if len(sig) else run_of
         many = classes > 1
         least = key[np.flatnonzero(new)][run_of] if len(sig) else key
-        return pa.table({"sig": sig[many], "key": key[many], "side": sides[many].astype(np.int32), "classes": classes[many].astype(np.int32), "leader": least[many]})
+        whole = (np.int64(table["part"][0].as_py() if len(table) else 0) << 32) + sig.astype(np.int64)
+        return pa.table({"sig": whole[many], "key": key[many], "side": sides[many].astype(np.int32), "classes": classes[many].astype(np.int32), "leader": least[many]})
 
     return run
 
 
-def _segments(k: int, seed: int):
+def _match(described: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """sig, key, side, classes, leader: signatures that at least two classes have. described: key, own, low."""
+    parts = max(96, -(-total // PART_SIGNATURES))
+    dealt = described.filter("size(own) > 0").mapInArrow(_dealt(parts), "part int, side int, sigs array<int>, keys array<long>")
+    loads = dealt.groupBy("part").agg(F.sum(F.size("sigs")).alias("load"))
+    heavy = scratch.write(loads.filter(F.col("load") * parts > HEAVY * total).select("part"), "heavy-parts")
+    if not heavy.limit(1).count():
+        return scratch.write(dealt.groupBy("part").applyInArrow(_matched(), SHARED), "shared")
+    heavy = small(heavy)
+    light = dealt.join(heavy, "part", "left_anti").groupBy("part").applyInArrow(_matched(), SHARED)
+    each = dealt.join(heavy, "part", "left_semi").select("part", "side", F.explode(F.arrays_zip("sigs", "keys")).alias("s"))
+    each = scratch.write(each.select((F.shiftleft(F.col("part").cast("long"), 32) + F.col("s.sigs")).alias("sig"), F.col("s.keys").alias("key"), "side").distinct(), "heavy-signatures")
+    held = scratch.write(each.groupBy("sig").agg(F.count("*").cast("int").alias("classes"), F.min("key").alias("leader")).filter("classes > 1"), "heavy-counts")
+    return scratch.write(light.unionByName(each.join(held, "sig").select("sig", "key", "side", "classes", "leader")), "shared")
+
+
+def _keyed(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """d1, d2, key of the classes whose first digest another class has too, but one of each."""
+    twice = scratch.write(classes.groupBy("d1").agg(F.count("*").alias("count"), F.min("d2").alias("x2")).filter("count > 1").select(F.col("d1").alias("x1"), "x2"), "twins")
+    twins = scratch.write(classes.join(small(twice), F.col("d1") == F.col("x1")).filter("d2 <> x2").select("d1", "d2"), "renamed")
+    salt = 0
+    while twins.limit(1).count():
+        # a further collision has a chance of (twins times classes) in 2 ** 64
+        tried = twins.withColumn("key", F.xxhash64("d1", "d2", F.lit(salt)))
+        again = tried.groupBy("key").count().filter("count > 1").select("key").union(tried.join(classes.select(F.col("d1").alias("x1")), F.col("key") == F.col("x1")).select("key"))
+        if not again.limit(1).count():
+            return scratch.write(tried, "keys")
+        salt += 1
+    return twins.withColumn("key", F.lit(0).cast("long"))
+
+
+def _with_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (d1, d2) with the key of their class."""
+    k = small(keys.select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.col("key").alias("other")))
+    return rows.join(k, (F.col("d1") == F.col("x1")) & (F.col("d2") == F.col("x2")), "left").withColumn("key", F.coalesce("other", "d1")).drop("x1", "x2", "other")
+
+
+SEGMENTS = "key long, n int, leads boolean, leaders array<long>, fragment int, grams array<long>"
+
+
+def _segments(k: int, digest_bits: int):
+    """Segments of the wanted classes: one row for each class and fragment."""
+
     def run(batches):
         import pyarrow as pa
 
-        shingler = Shingler(k, seed)
+        shingler = Shingler(k)
+        sent: set[int] = set()
         for b in batches:
-            for i, j, text, hashed in shingler.sets(b.column(1).to_pylist()):
+            if len(sent) > 1_000_000:
+                sent.clear()
+            keys = b.column(1).to_pylist()
+            fresh = []
+            for i, key in enumerate(keys):
+                if key not in sent:
+                    sent.add(key)
+                    fresh.append(i)
+            b = b.take(pa.array(fresh, pa.int64()))
+            d1, d2 = (b.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            for i, j, text, hashed in shingler.sets(b.column(0).to_pylist()):
                 if not len(text):
                     continue
                 n = np.bincount(text, minlength=j - i)
-                d1 = _digests(hashed, n)[0]
+                x1, x2, _ = _digests(hashed, n)
+                same = (x1 >> (64 - digest_bits) == d1[i:j]) & (x2 == d2[i:j])
                 fragment = (hashed >> np.uint64(61)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(text * VERIFY_FRAGMENTS + fragment, prepend=-1))
-                offsets = pa.array(np.concatenate([cut, [len(text)]]).astype(np.int32))
+                grams = pa.ListArray.from_arrays(pa.array(np.concatenate([cut, [len(text)]]).astype(np.int32)), pa.array(hashed.view(np.int64)))
                 rows = pa.array(text[cut] + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(d1[text[cut]]), pa.array(n[text[cut]].astype(np.int32)), pa.array(fragment[cut].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(hashed.view(np.int64)))], ["id", "d1", "n", "fragment", "grams"])
+                out = pa.RecordBatch.from_arrays([b.column(1).take(rows), pa.array(n[text[cut]].astype(np.int32)), b.column(4).take(rows), b.column(5).take(rows), pa.array(fragment[cut].astype(np.int32)), grams], ["key", "n", "leads", "leaders", "fragment", "grams"])
+                yield out.filter(pa.array(same[text[cut]]))
 
     return run
 
 
-def _wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of docs (id, text) whose id may be in wanted (id)."""
-    return thinned(docs, F.xxhash64("id"), wanted.select(F.xxhash64("id").alias("h")))
-
-
-def _grams(docs: DataFrame, keys: DataFrame, classes: DataFrame, k: int, seed: int) -> DataFrame:
-    """key, fragment, grams, size: the segments of the classes in keys (key). Repeated rows repeat their segments."""
-    wanted = materialise(classes.join(keys, "key").select("key", F.col("id").alias("least_id"), F.col("n").alias("size")), "wanted")
-    kind = dict(docs.dtypes)["id"]
-    rows = _wanted(docs, wanted.select(F.col("least_id").alias("id"))).mapInArrow(_segments(k, seed), f"id {kind}, d1 long, n int, fragment int, grams array<long>")
-    found = rows.join(wanted, (F.col("d1") == F.col("key")) & F.col("id").eqNullSafe(F.col("least_id"))).select("key", "fragment", "grams", "size")
-    return materialise(found, "segments")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold, by partial overlaps."""
-    keys = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
-    found = _grams(docs, keys, classes, k, seed)
-    left = pairs.join(found.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("x"), F.col("size").alias("na")), "a")
-    right = found.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("y"), F.col("size").alias("nb"))
-    partial = left.join(right, ["b", "fragment"]).select("a", "b", "fragment", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
-    # a repeated row of documents repeats its segments; the maximum takes each once
-    once = partial.groupBy("a", "b", "fragment").agg(F.max("part").alias("part"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    summed = once.groupBy("a", "b").agg(F.sum("part").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return materialise(summed.filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "linked")
-
-
-def _by_prefix(docs: DataFrame, about: DataFrame, minor: DataFrame, classes: DataFrame, k: int, seed: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b), of different components, of a class in minor (key) and one in about (key, n, sketch, component) that may link.
+def _grams(docs: DataFrame, wanted: DataFrame, classes: DataFrame, k: int, digest_bits: int, scratch: Scratch) -> DataFrame:
+    """SEGMENTS of the classes in wanted (key, leads, leaders), each once. docs: id, th, text."""
+    about = scratch.write(classes.select("key", "d1", "d2", "least").join(wanted, "key").select("key", "d1", "d2", "leads", "leaders", F.col("least.id").alias("least_id"), F.col("least.th").alias("least_th")), "wanted")
+    maybe = thinned(docs, F.xxhash64("id", "th"), about.select(F.xxhash64("least_id", "least_th").alias("h")))
+    n_rows, n_leaders = about.agg(F.count("*"), F.sum(F.size("leaders"))).first()
+    side = F.broadcast(about) if n_rows + (n_leaders or 0) <= 300_000 else about
+    rows = maybe.join(side, F.col("id").eqNullSafe(F.col("least_id")) & (F.col("th") == F.col("least_th")))
+    found = scratch.write(rows.select("text", "key", "d1", "d2", "leads", "leaders").mapInArrow(_segments(k, digest_bits), SEGMENTS), "segments")
+    if found.groupBy("key", "fragment").count().filter("count > 1").limit(1).count():  # rows that repeat id and text
+        found = scratch.write(found.dropDuplicates(["key", "fragment"]), "segments")
+    return found
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, digest_bits: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The pairs (leader, key) of classes that reach the threshold, as (a, b), by partial overlaps."""
+    none = F.array().cast("array<long>")
+    members = pairs.groupBy("key").agg(F.collect_set("leader").alias("leaders")).withColumn("leads", F.lit(False))
+    leaders = pairs.select(F.col("leader").alias("key")).distinct().select("key", none.alias("leaders"), F.lit(True).alias("leads"))
+    wanted = members.unionByName(leaders).groupBy("key").agg(F.max("leads").alias("leads"), F.flatten(F.collect_list("leaders")).alias("leaders"))
+    found = _grams(docs, wanted, classes, k, digest_bits, scratch)
+    left = found.filter("leads").select(F.col("key").alias("leader"), "fragment", F.col("grams").alias("x"), F.col("n").alias("na"))
+    right = found.select(F.explode("leaders").alias("leader"), F.col("key").alias("b"), "fragment", F.col("grams").alias("y"), F.col("n").alias("nb"))
+    partial = right.join(left, ["leader", "fragment"]).select("leader", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
+    summed = partial.groupBy("leader", "b").agg(F.sum("part").alias("both"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    linked = scratch.write(summed.filter(F.lit(den) * F.col("both") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("both"))).select(F.least("leader", "b").alias("a"), F.greatest("leader", "b").alias("b")), "linked")
+    scratch.drop(found)
+    return linked
+
+
+def _by_prefix(docs: DataFrame, about: DataFrame, minor: DataFrame, classes: DataFrame, k: int, digest_bits: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (leader, key), of different components, of a class in minor (key) and one in about (key, n, sketch, component) that may link.
 
     A set that links with another holds one of its n-grams among any few of its own, as many as may differ and one more.
     These are its rarest here, looked up among all n-grams of the other classes. Where the first one shared comes, what is
     left of the set must still suffice for the overlap needed.
     """
-    segments = _grams(docs, about.select("key"), classes, k, seed).select("key", "fragment", "grams").dropDuplicates(["key", "fragment"])
-    grams = materialise(segments.join(about, "key").select(*about.columns, F.explode("grams").alias("gram")), "open-grams")
-    rarity = materialise(grams.groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1"), "rarity")
+    wanted = about.select("key", F.lit(False).alias("leads"), F.array().cast("array<long>").alias("leaders"))
+    segments = _grams(docs, wanted, classes, k, digest_bits, scratch)
+    grams = scratch.write(segments.select("key", F.explode("grams").alias("gram")).join(about, "key"), "open-grams")
+    scratch.drop(segments)
+    rarity = scratch.write(grams.groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1"), "rarity")
     own = grams.select("key", "n", "gram").join(minor, "key", "left_semi")
     # n-grams of one class alone bring no pair; they are the rarest, so they only move the others back
     mine = Window.partitionBy("key")
     ranked = own.join(rarity, "gram").withColumn("at", F.col("n").cast("long") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "gram")))
     size = F.col("n").cast("long")
     prefix = ranked.filter(F.lit(den) * (size - F.col("at") + 1) >= F.lit(num) * size).select("key", "gram", "at")
-    prefix = materialise(prefix.join(about, "key"), "prefixes")
+    prefix = scratch.write(prefix.join(about, "key"), "prefixes")
     n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
     enough = (n - F.col("x.at") + 1) * (num + den) >= num * (n + m)
     joined = prefix.alias("x").join(grams.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & enough & _bounds(num, den))
-    return joined.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-
-
-def _match(described: DataFrame, total: int) -> DataFrame:
-    """sig, key, side, classes, leader: signatures that at least two classes have."""
-    parts = max(96, -(-total // PART_SIGNATURES))
-    dealt = described.filter("size(own) > 0").select("d1", "own", "low").mapInArrow(_dealt(parts), "part int, side int, sigs array<long>, keys array<long>")
-    loads = dealt.groupBy("part").agg(F.sum(F.size("sigs")).alias("load"))
-    heavy = materialise(loads.filter(F.col("load") * parts > HEAVY * total).select("part"), "heavy-parts")
-    if not heavy.limit(1).count():
-        return materialise(dealt.groupBy("part").applyInArrow(_matched(), SHARED), "shared")
-    heavy = small(heavy)
-    light = dealt.join(heavy, "part", "left_anti").groupBy("part").applyInArrow(_matched(), SHARED)
-    each = dealt.join(heavy, "part", "left_semi").select("side", F.explode(F.arrays_zip("sigs", "keys")).alias("s"))
-    each = materialise(each.select(F.col("s.sigs").alias("sig"), F.col("s.keys").alias("key"), "side").distinct(), "heavy-signatures")
-    held = materialise(each.groupBy("sig").agg(F.count("*").cast("int").alias("classes"), F.min("key").alias("leader")).filter("classes > 1"), "heavy-counts")
-    return materialise(light.unionByName(each.join(held, "sig").select("sig", "key", "side", "classes", "leader")), "shared")
+    pairs = scratch.write(joined.select(F.least("x.key", "y.key").alias("leader"), F.greatest("x.key", "y.key").alias("key")).distinct(), "prefix-pairs")
+    scratch.drop(grams, rarity, prefix)
+    return pairs
 
 
 def _bounds(num: int, den: int):
@@ -285,80 +341,87 @@ def _bounds(num: int, den: int):
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (flips * (den + num) <= (n + m) * (den - num))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, seed: int = 0, slack: float = 1.1, id_col: str = "doc_id", text_col: str = "text", tries: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, slack: float = 1.1, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:
     """One row per row of docs: id, n_shingles (size of its set of word n-grams), component_id.
 
     Two documents link when den * |intersection| >= num * |union|; component_id is the least id that links
     reach, the document itself included. Null and empty texts have an empty set and link with nothing. Copies,
     repeated rows and ties of size share a class. Rows with a null id are compared like others, and get
     the least id of their component that is not null, or null. Further columns are ignored; an empty table gives none.
+    The result is a table in the shared folder; all others that the join writes are deleted. digest_bits, of the first
+    digest of a class, is there for tests.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(docs.dtypes)["id"]
-    for attempt in range(tries):
-        described = materialise(docs.mapInArrow(_describe(words, seed, num, den, slack), ROWS.format(kind=kind)), "described")
-        numbers = ["n", *(f"s{i}" for i in range(SKETCH)), "n_own", "n_low", "d_own", "d_low"]
-        classes = materialise(described.filter("n > 0").groupBy(F.col("d1").alias("key")).agg(F.min("id").alias("id"), F.min("d2").alias("d2"), F.max("d2").alias("d2_max"), F.max("short").alias("short"), *(F.max(c).alias(c) for c in numbers)), "classes")
-        bad = classes.filter("d2 <> d2_max or short").limit(1).count()
-        if not bad:
-            break
-        seed, slack = seed + 1, slack * 1.3
-    else:
-        raise RuntimeError(f"no seed of {tries} gave every set enough filled fragments")
+    kind = dict(docs.dtypes)[id_col]
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    with Scratch(docs.sparkSession, "jaccard") as scratch:
+        return scratch.result(_components(docs, kind, words, num, den, slack, digest_bits, scratch).withColumnsRenamed({"id": id_col}))
+
+
+def _components(docs: DataFrame, kind: str, words: int, num: int, den: int, slack: float, digest_bits: int, scratch: Scratch) -> DataFrame:
+    described = scratch.write(docs.mapInArrow(_describe(words, num, den, slack, digest_bits), ROWS.format(kind=kind)), "described")
+    numbers = ["n", *(f"s{i}" for i in range(SKETCH)), "n_own", "n_low", "d_own", "d_low"]
+    # the least id, nulls last; the text's hash tells apart rows that share it
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
+    digested = scratch.write(described.filter("n > 0").groupBy("d1", "d2").agg(least, *(F.max(c).alias(c) for c in numbers)), "digested")
+    keys = _keyed(digested, scratch)
+    classes = scratch.write(_with_key(digested, keys), "classes")
+    rows = scratch.write(_with_key(described.select("id", "n", "d1", "d2"), keys).select("id", "n", "key"), "rows")
 
     total = described.agg(F.sum(F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("low"), F.lit(0)))).first()[0] or 0
-    shared = _match(described, total)
+    shared = _match(_with_key(described.select("d1", "d2", "own", "low"), keys).select("key", "own", "low"), total, scratch)
+    scratch.drop(described, digested)
 
     # Common signatures go where a class has enough others.
     common = shared.filter(F.col("classes") > COMMON)
     skipped = common.groupBy("key", "side").count().join(classes.select(F.col("key").alias("k"), "n_own", "n_low", "d_own", "d_low"), F.col("key") == F.col("k"))
     n_all, need = (F.when(F.col("side") == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("n_own", "n_low"), ("d_own", "d_low")))
     needy = skipped.filter(n_all - F.col("count") <= need).select("key", "side")
-    needy = materialise(common.join(needy, ["key", "side"], "left_semi").select("sig", "key"), "common")
+    needy = scratch.write(common.join(needy, ["key", "side"], "left_semi").select("sig", "key"), "common")
     # The class with most of these signatures is the least altered member of its group: it links with all that link
     # with any other, or nearly so. It leads its buckets.
-    score = materialise(needy.groupBy("key").agg(F.count("*").alias("score")).withColumnRenamed("key", "of"), "scores")
-    hubs = materialise(needy.join(score, F.col("key") == F.col("of")).groupBy("sig").agg(F.max(F.struct("score", "key")).alias("hub")), "hubs")
+    score = scratch.write(needy.groupBy("key").agg(F.count("*").alias("score")).withColumnRenamed("key", "of"), "scores")
+    hubs = scratch.write(needy.join(score, F.col("key") == F.col("of")).groupBy("sig").agg(F.max(F.struct("score", "key")).alias("hub")), "hubs")
     led = needy.join(hubs.select(F.col("sig").alias("of"), F.col("hub.key").alias("leader")), F.col("sig") == F.col("of")).select("sig", "key", "leader")
-    kept = materialise(shared.filter(F.col("classes") <= COMMON).select("sig", "key", "leader").union(led), "buckets")
+    kept = scratch.write(shared.filter(F.col("classes") <= COMMON).select("sig", "key", "leader").union(led), "buckets")
+    scratch.drop(shared, needy, score, hubs)
 
     about = classes.select("key", "n", *(f"s{i}" for i in range(SKETCH)))
-    near = kept.filter("leader <> key").select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
-    near = materialise(near, "led")
-    star = near.join(about.alias("x"), F.col("a") == F.col("x.key")).join(about.alias("y"), F.col("b") == F.col("y.key")).filter(_bounds(num, den)).select("a", "b")
-    star = materialise(star, "pairs")
-    linked = _verified(docs, star, classes, words, seed, num, den)
-    found = materialise(components(linked), "components")
+    near = scratch.write(kept.filter("leader <> key").select("leader", "key").distinct(), "led")
+    star = near.join(about.alias("x"), F.col("leader") == F.col("x.key")).join(about.alias("y"), near["key"] == F.col("y.key")).filter(_bounds(num, den)).select("leader", near["key"])
+    star = scratch.write(star, "pairs")
+    linked = _verified(docs, star, classes, words, digest_bits, num, den, scratch)
+    found = scratch.write(components(linked, scratch), "components")
 
     # Buckets that still hold several components: the pairs between those.
-    part = [found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
-    parted = near.join(part[0], "a", "left").join(part[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    parted = parted.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("b").alias("key")), F.struct(F.col("b").alias("leader"), F.col("a").alias("key")))).alias("p")).select("p.*")
-    open_ = kept.join(parted, ["leader", "key"], "left_semi").select("sig").distinct()
+    part = [found.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in ("leader", "key")]
+    parted = near.join(part[0], "leader", "left").join(part[1], "key", "left").filter(F.coalesce("c_leader", "leader") != F.coalesce("c_key", "key"))
+    open_ = kept.join(parted.select("leader", "key"), ["leader", "key"], "left_semi").select("sig").distinct()
     rest = kept.join(open_, "sig", "left_semi").select("sig", "key").join(about, "key").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    rest = materialise(rest, "open")
-    large = materialise(rest.groupBy("sig").count().filter(F.col("count") > COMMON).select("sig"), "large-buckets")
+    rest = scratch.write(rest, "open")
+    scratch.drop(kept, near)
+    large = scratch.write(rest.groupBy("sig").count().filter(F.col("count") > COMMON).select("sig"), "large-buckets")
     few = rest
     if many := large.limit(1).count():
-        few = materialise(rest.join(large, "sig", "left_anti"), "open-small")
+        few = scratch.write(rest.join(large, "sig", "left_anti"), "open-small")
     cross = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & _bounds(num, den))
-    cross = cross.select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    cross = cross.select(F.col("x.key").alias("leader"), F.col("y.key").alias("key"))
     if many:
         # In each bucket the component with most classes has been joined within: every pair left has a member outside it.
-        crowd = materialise(rest.join(large, "sig", "left_semi"), "open-large")
+        crowd = scratch.write(rest.join(large, "sig", "left_semi"), "open-large")
         sizes = crowd.groupBy("sig", F.col("component").alias("c")).count()
-        major = materialise(sizes.groupBy(F.col("sig").alias("of")).agg(F.max(F.struct("count", "c")).alias("major")), "majors")
-        minor = materialise(crowd.join(major, (F.col("sig") == F.col("of")) & (F.col("component") != F.col("major.c"))).select("key").distinct(), "minor-classes")
-        crowd = materialise(crowd.drop("sig").distinct(), "open-classes")
-        cross = cross.union(_by_prefix(docs, crowd, minor, classes, words, seed, num, den))
-    more = materialise(cross.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+        major = scratch.write(sizes.groupBy(F.col("sig").alias("of")).agg(F.max(F.struct("count", "c")).alias("major")), "majors")
+        minor = scratch.write(crowd.join(major, (F.col("sig") == F.col("of")) & (F.col("component") != F.col("major.c"))).select("key").distinct(), "minor-classes")
+        crowd = scratch.write(crowd.drop("sig").distinct(), "open-classes")
+        cross = cross.union(_by_prefix(docs, crowd, minor, classes, words, digest_bits, num, den, scratch))
+    tried = star.select(F.least("leader", "key").alias("leader"), F.greatest("leader", "key").alias("key"))
+    more = scratch.write(cross.distinct().join(tried, ["leader", "key"], "left_anti"), "pairs")
     if more.limit(1).count():
-        linked = linked.union(_verified(docs, more, classes, words, seed, num, den))
-        found = materialise(components(linked), "components")
-
-    named = classes.select("key", F.col("id").alias("least_id")).join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
-    named = materialise(named, "named")
-    least = materialise(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
-    of_class = materialise(named.join(least, "component").select(F.col("key").alias("d1"), "component_id"), "class-components")
-    out = described.select("id", "n", "d1").join(of_class, "d1", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        linked = linked.union(_verified(docs, more, classes, words, digest_bits, num, den, scratch))
+        found = scratch.write(components(linked, scratch), "components")
+
+    named = classes.select("key", F.col("least.id").alias("least_id")).join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
+    named = scratch.write(named, "named")
+    least = scratch.write(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
+    of_class = scratch.write(named.join(least, "component").select("key", "component_id"), "class-components")
+    out = rows.join(of_class, "key", "left")
+    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

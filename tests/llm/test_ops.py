@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from skein.llm import components, decontaminate, jaccard_join, lang_id, packing, pieces, quality_classifier, quality_rules, queries, shingles, source_mix, surrogates, token_counts, url_filter, weak
-from skein.llm.common import shared_path
+from skein.llm.common import Scratch, shared_path
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -243,14 +243,29 @@ def test_op4_null_ids(spark):
     assert sorted((r.component_id is None, r.component_id or 0) for r in got) == [(False, 3)] * 2 + [(False, 7)] * 3 + [(True, 0)]
 
 
-def test_op4_starts_again_when_fragments_run_short(spark):
-    texts = [unique(1, 300), altered(unique(1, 300), 0.01, 1), unique(2, 300)]
+def test_op4_sets_with_too_few_filled_fragments(spark):
     plan = jaccard_join.Plan(85, 100, 1.1)
     assert all(plan.fragments(s) > plan.differ(plan.top[s] - 1, s, True) for s in range(1, 12))
-    got = by_id(jaccard_join.jaccard_components(frame(spark, texts), words=4, num=85, slack=0.4))
-    assert [got[i].component_id for i in range(3)] == [0, 0, 2]
     with pytest.raises(ValueError):
         jaccard_join.Plan(1, 2, 1.0)
+    texts = family_texts()
+    got = by_id(jaccard_join.jaccard_components(frame(spark, texts), words=4, num=85, slack=0.4))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, 4, 85, 100)
+
+
+def test_op4_unlike_sets_of_one_digest_stay_apart(spark):
+    texts = family_texts()
+    got = by_id(jaccard_join.jaccard_components(frame(spark, texts), words=4, num=85, digest_bits=5))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, 4, 85, 100)
+
+
+def test_op4_leaves_one_table(spark):
+    import pathlib
+
+    shared = pathlib.Path(shared_path(spark, "").removeprefix("file://")).parent
+    before = set(shared.iterdir())
+    jaccard_join.jaccard_components(frame(spark, family_texts()[:20]))
+    assert len(set(shared.iterdir()) - before) == 1
 
 
 def test_op4_empty_table(spark):
@@ -273,9 +288,10 @@ def test_shingles_equal_brute_force():
 
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (5, 4)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Scratch(spark, "test") as scratch:
+        got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
+        assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+        assert components.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
 
 
 # --- 5
