@@ -130,9 +130,21 @@ def thinned(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return marked(df, key, wanted).filter("maybe").drop("maybe")
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows; else as it is, to be joined by shuffle.
+def few(df: DataFrame, rows: int = 200_000) -> bool:
+    """Whether df, which must be cheap to read twice (a written table), has at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
 
-    df must be cheap to read twice (a written table). Rows are narrow: a few numbers and short strings.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it has few rows; else as it is, to be joined by shuffle. Rows are narrow: a few
+    numbers and short strings."""
+    return F.broadcast(df) if few(df, rows) else df
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose key is not in gone (column key). Rows that a bitmap of gone lets go are not shuffled."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    flagged = marked(docs.select(whole, key.alias("mine")), F.xxhash64("mine"), gone.select(F.xxhash64("key").alias("h")))
+    stay = flagged.filter("not maybe").select("whole.*")
+    rest = flagged.filter("maybe").join(small(gone), F.col("mine").eqNullSafe(F.col("key")), "left_anti")
+    return stay.unionByName(rest.select("whole.*"))

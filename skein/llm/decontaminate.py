@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise, small, thinned
+from .common import Scratch, ascii_lower, few, small, thinned
 
 #: Java pattern of what separates words: ASCII other than digits and letters, after A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,54 +47,64 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: s
 
     Null and empty texts have no words; empty items have no window. An empty benchmark hits nothing, an empty table
     gives no rows. Repeated rows, and rows that share an id, are judged each by its own text. Null item ids are left
-    out of n_items and items_sha256. Further columns are ignored.
+    out of n_items and items_sha256. Further columns are ignored. The result is a table in the shared folder; all others
+    that the join writes are deleted.
     """
+    with Scratch(docs.sparkSession, "decontamination") as scratch:
+        return scratch.result(_contamination(docs, bench, window, id_col, text_col, item_id, item_text, scratch))
+
+
+def _contamination(docs: DataFrame, bench: DataFrame, window: int, id_col: str, text_col: str, item_id: str, item_text: str, scratch: Scratch) -> DataFrame:
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     split = docs.select("id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words"))
-    wins = materialise(benchmark_windows(bench, window, item_id, item_text), "windows")
+    wins = scratch.write(benchmark_windows(bench, window, item_id, item_text), "windows")
 
     # One row per window: its shingles and their frequency in the documents.
     alone = wins.groupBy("win").agg(F.first("ws").alias("ws"), F.first("len").alias("len"))
     parts = alone.select("win", "len", F.posexplode(_pairs(F.col("ws"))).alias("pos", "pair")).withColumn("key", _key())
     # a window's last word has no pair within it; only a window of one word is looked up by that word
-    parts = materialise(parts.filter((F.col("pos") < F.col("len") - 1) | (F.col("len") == 1)).select("win", "len", "pos", "key"), "shingles")
-    keys = materialise(parts.select("key").distinct(), "shingle-keys")
-    single = materialise(parts.filter("len = 1").select("key").distinct(), "single-words")
+    parts = scratch.write(parts.filter((F.col("pos") < F.col("len") - 1) | (F.col("len") == 1)).select("win", "len", "pos", "key"), "shingles")
+    keys = scratch.write(parts.select("key").distinct(), "shingle-keys")
+    single = scratch.write(parts.filter("len = 1").select("key").distinct(), "single-words")
     lone, single = single.limit(1).count() > 0, small(single)
 
     def shingled(wanted: DataFrame, *keep) -> DataFrame:
         """Document shingles among the keys of wanted, with wanted's columns."""
-        out = split.select(*keep, F.posexplode(_pairs(F.col("words"))).alias("pos", "pair")).withColumn("key", _key()).drop("pair").join(wanted, "key")
+        out = split.select(*keep, F.posexplode(_pairs(F.col("words"))).alias("pos", "pair")).withColumn("key", _key()).drop("pair")
+        if not few(wanted):  # too many to broadcast: most pairs go by a bitmap, so that only the rest are shuffled
+            out = thinned(out, F.col("key"), wanted.select(F.col("key").alias("h")))
+        wanted = small(wanted)
+        out = out.join(wanted, "key")
         if lone:  # words by themselves, only where an item is a single word
             each = split.select(*keep, F.posexplode("words").alias("pos", "w")).withColumn("key", F.xxhash64("w", F.lit(None).cast("string"))).drop("w")
             out = out.unionByName(each.join(single, "key", "left_semi").join(wanted, "key"))
         return out
 
-    counts = shingled(small(keys)).groupBy("key").count()
+    counts = shingled(keys).groupBy("key").count()
     ranked = parts.join(counts, "key", "left").fillna(0, ["count"])
     rarest = Window.partitionBy("win").orderBy("count", "key", "pos")
-    prefix = materialise(ranked.withColumn("r", F.row_number().over(rarest)).filter("r = 1").select("key", "win", "len", F.col("pos").alias("offset")), "prefixes")
-    bounds = materialise(prefix.groupBy("key").agg(F.min("offset").alias("least"), F.min(F.col("len") - F.col("offset")).alias("rest")), "prefix-bounds")
+    prefix = scratch.write(ranked.withColumn("r", F.row_number().over(rarest)).filter("r = 1").select("key", "win", "len", F.col("pos").alias("offset")), "prefixes")
+    bounds = scratch.write(prefix.groupBy("key").agg(F.min("offset").alias("least"), F.min(F.col("len") - F.col("offset")).alias("rest")), "prefix-bounds")
 
     n = F.size("words").alias("n")
-    hits = shingled(small(bounds), "id", "th", n).filter("pos >= least and n - pos >= rest").select("id", "th", "n", "pos", "key")
-    hits = materialise(hits.distinct(), "hits")
+    hits = shingled(bounds, "id", "th", n).filter("pos >= least and n - pos >= rest").select("id", "th", "n", "pos", "key")
+    hits = scratch.write(hits.distinct(), "hits")
 
     # Places to verify, by document; a place lies wholly within the document.
     places = hits.join(small(prefix), "key").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0 and start + len <= n")
     places = places.groupBy("id", "th").agg(F.collect_list(F.struct("start", "len", "win")).alias("places"))
-    places = materialise(places, "places")
+    places = scratch.write(places, "places")
     thin = thinned(docs.withColumn("th", F.xxhash64("text")), F.xxhash64("id", "th"), places.select(F.xxhash64("id", "th").alias("h")))
     thin = thin.dropDuplicates(["id", "th"]).select("id", "th", words(F.col("text")).alias("words"))
     p = places.select(F.col("id").alias("pid"), F.col("th").alias("pth"), "places")
     checked = thin.join(p, F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")))
     exact = F.expr("filter(places, p -> array_join(slice(words, p.start + 1, p.len), ' ') = p.win)")
-    found = materialise(checked.select("id", "th", exact.alias("found")).filter("size(found) > 0"), "found")
+    found = scratch.write(checked.select("id", "th", exact.alias("found")).filter("size(found) > 0"), "found")
     n_hit = F.expr("cast(size(array_distinct(flatten(transform(found, p -> sequence(p.start, p.start + p.len - 1))))) as long)")
     hit = found.select("id", "th", n_hit.alias("n_hit"))
     of_doc = found.select("id", "th", F.explode(F.array_distinct(F.col("found.win"))).alias("win"))
     items = of_doc.join(small(wins.filter("item is not null").select("win", "item")), "win").groupBy("id", "th").agg(F.collect_set("item").alias("items"))
-    per_doc = materialise(hit.join(items, hit.id.eqNullSafe(items.id) & (hit.th == items.th), "left").select(hit.id.alias("fid"), hit.th.alias("fth"), "n_hit", "items"), "contaminated")
+    per_doc = scratch.write(hit.join(items, hit.id.eqNullSafe(items.id) & (hit.th == items.th), "left").select(hit.id.alias("fid"), hit.th.alias("fth"), "n_hit", "items"), "contaminated")
 
     base = split.select("id", "th", F.when(F.col("words").isNull(), 0).otherwise(F.size("words")).cast("long").alias("n_words"))
     out = base.join(per_doc, F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left")
