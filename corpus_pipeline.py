@@ -1,11 +1,12 @@
 """A corpus pipeline of the training-data operators: five stages, each over all that its predecessor kept.
 
-run() writes each stage's rows to the shared folder and reads them again as the next stage's documents.
-The result, token rows packed from the mixed documents, cannot be expressed in SQL, so ORACLE_SQL is None and
-tests hold the stages against brute force.
+run() writes each stage's rows to the shared folder, reads them again as the next stage's documents and deletes them once
+they have been read. The result, token rows packed from the mixed documents, cannot be expressed in SQL, so ORACLE_SQL
+is None; tests hold the near-duplicate, decontamination and mixing stages against brute force.
 
-Stages tell rows apart by id and text, so a null id, or one id on unlike texts, neither loses nor keeps a document
-wrongly. Rows repeated with id and text are copies: near_duplicates leaves one of them.
+Stages tell rows apart by id and two hashes of the text, so a null id, or one id on unlike texts, neither loses nor keeps a
+document wrongly. Rows repeated with id and text are copies: near_duplicates leaves one of them. Columns of documents keep
+their values whatever their names.
 """
 
 from __future__ import annotations
@@ -14,61 +15,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, jaccard_join, packing, quality_classifier, source_mix
-from skein.llm.common import materialise, table
+from skein.llm.common import Scratch, few, marked, materialise, table, without
 from skein.llm.queries import packed_digests
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier keeps."""
-    return quality_classifier.classify(docs).filter("quality_kept").select(docs.columns)
+def _key():
+    """Names a row by its id and text. Orders by id, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a column, of a name that docs does not use, that names a row by its id and text; ids keep their order."""
-    name = "_row"
-    while name in docs.columns:
-        name = "_" + name
-    text = F.col("text")
-    return docs.withColumn(name, F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.hex(F.xxhash64(text)), F.hex(F.xxhash64(text, F.lit(1))))), name
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label classifier keeps."""
+    judged = quality_classifier.classify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "doc_id", "text"))
+    return judged.filter("quality_kept").select("whole.*")
 
 
-def _single(docs: DataFrame, row: str, repeated: DataFrame) -> DataFrame:
-    """docs with one row for each value of `row`; repeated (column _of) lists the values that several rows have.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each group linked by five-word shingles at 0.8 or more.
 
-    If such rows differ in other columns, the one with the least hash of all columns stays.
+    Of rows repeated with id and text one stays; if they differ in other columns, the one with the least hash of all.
     """
-    if not repeated.limit(1).count():
-        return docs
-    many = docs.join(repeated, F.col(row) == F.col("_of"), "left_semi")
-    least = many.groupBy(F.col(row).alias("_of")).agg(F.min_by(F.struct(*map(F.col, docs.columns)), F.xxhash64(*docs.columns)).alias("_one")).select("_one.*")
-    return docs.join(repeated, F.col(row) == F.col("_of"), "left_anti").unionByName(least)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group linked by five-word shingles at 0.8 or more."""
-    keyed, row = _keyed(docs)
-    found = jaccard_join.jaccard_components(keyed, words=5, num=80, den=100, id_col=row)
-    first = materialise(found.filter(F.col(row) == F.col("component_id")).groupBy(F.col(row).alias("_of")).agg(F.count("*").alias("_rows")), "first-of-group")
-    kept = keyed.join(first, F.col(row) == F.col("_of"), "left_semi")
-    return _single(kept, row, first.filter("_rows > 1")).select(docs.columns)
+    found = jaccard_join.jaccard_components(docs.select(_key().alias("key"), "text"), words=5, num=80, den=100, id_col="key")
+    with Scratch(spark, "near-duplicates") as scratch:
+        gone = scratch.result(found.filter("key <> component_id").select("key").distinct())
+        first = found.filter("key = component_id").groupBy("key").count().filter("count > 1").select("key")
+        again = scratch.result(first)
+        scratch.drop(found)
+    kept = without(docs, _key(), gone)
+    if not again.limit(1).count():
+        return kept
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    flagged = marked(kept.select(whole, _key().alias("mine")), F.xxhash64("mine"), again.select(F.xxhash64("key").alias("h")))
+    rows, side = flagged.filter("maybe"), F.broadcast(again) if few(again) else again
+    single = rows.join(side, F.col("mine") == F.col("key"), "left_semi").groupBy("mine").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
+    others = rows.join(side, F.col("mine") == F.col("key"), "left_anti")
+    return flagged.filter("not maybe").select("whole.*").unionByName(others.select("whole.*")).unionByName(single.select("whole.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    keyed, row = _keyed(docs)
-    found = decontaminate.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col=row)
-    bad = found.filter("contaminated").select(F.col(row).alias("_bad"))
-    return keyed.join(bad, F.col(row) == F.col("_bad"), "left_anti").select(docs.columns)
+    found = decontaminate.contamination(docs.select(_key().alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    with Scratch(spark, "decontaminated") as scratch:
+        gone = scratch.result(found.filter("contaminated").select("key").distinct())
+        scratch.drop(found)
+    return without(docs, _key(), gone)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document that is taken twice stands twice; one that is not taken is left out."""
-    keyed, row = _keyed(docs)
-    copies = F.when(F.col("taken") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("long")
-    mixed = materialise(source_mix.mix(keyed, id_col=row).groupBy(F.col(row).alias("_of")).agg(F.sum(copies).alias("_copies"), F.count("*").alias("_rows")), "mixed")
-    once = _single(keyed, row, mixed.filter("_rows > 1"))
-    taken = mixed.filter("_copies > 0").select("_of", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return once.join(taken, F.col(row) == F.col("_of")).select(*(once[c] for c in docs.columns))
+    return source_mix.mixed(docs)
 
 
 def token_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").replace("/", ""))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = table(spark, sf_dir, "documents"), None
+    with Scratch(spark, "pipeline") as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-").replace("/", ""))
+            if before is not None:
+                scratch.drop(before)
+            before = docs
+        return materialise(STAGES[-1][1](spark, docs, sf_dir), "token-rows")
