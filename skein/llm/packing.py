@@ -1,46 +1,55 @@
-"""Operator 8: token-ID output in fixed-length rows, packed best-fit-decreasing.
+"""Operator 8: token-ID output in fixed-length rows, packed best-fit-decreasing over the whole table.
 
-Documents are encoded, and those longer than a row are split into whole rows and a rest, losslessly. The pieces
-of a window of documents go, longest first, into the open row with the least room that still holds them; a
-segment tree over the possible amounts of room finds it in log(row length) steps. Windows are bounded
-in tokens and lie within one partition, so nothing is shuffled, memory does not grow, and a lost task packs the
-same rows again.
+Documents are encoded, and those longer than a row are split into whole rows and a rest, losslessly. Best-fit-decreasing
+looks only at lengths, and there are no more lengths than a row has tokens: so the driver gets the number of pieces of each
+length, and nothing else, and packs ranges of equal rows at a time. A segment tree over the possible amounts of room finds the
+fullest rows that still hold a piece in log(row length) steps. The packing is the one that best-fit-decreasing gives for all
+pieces of the table, one by one.
 
-Written as Parquet, one row per packed row: pack_id, ids (row_tokens little-endian uint16, padded), n_tokens,
+Pieces of one length are numbered in an order of their hashes, by sums over small buckets, and the plan says in which row and at
+which place the piece of a number goes. So neither the order nor the partitions of the input matter, and no task holds more
+than a bucket or a row at once.
+
+Written as Parquet, one row per packed row: pack_id (from 0), ids (row_tokens little-endian uint16, padded), n_tokens,
 cu_seqlens (cumulative segment lengths from 0), resets (positions at which position ids start at 0 again: every
-segment's first), and segments: the document's id, the number of its row within the partition, where in the
-document's tokens the segment begins, and its length.
+segment's first), and segments: the document's id and its text's xxhash64, where in the document's tokens the segment
+begins, and its length.
 """
 
 from __future__ import annotations
 
+import itertools
+from typing import NamedTuple
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import Scratch, shared_path, small
 from .pieces import Encoder
 
-WINDOW_TOKENS = 4_000_000
+BUCKET_PIECES = 2000
 
 
 class Room:
-    """Open rows by free room. Node 1 is the root; a leaf counts the rows with that much room."""
+    """Ranges of open rows (first row, number of rows) by free room. Node 1 is the root; a leaf counts its ranges."""
 
     def __init__(self, most: int):
         self.base = 1 << most.bit_length()
         self.count = [0] * (2 * self.base)
-        self.rows: list[list[int]] = [[] for _ in range(most + 1)]
+        self.ranges: list[list[tuple[int, int]]] = [[] for _ in range(most + 1)]
 
-    def put(self, room: int, row: int) -> None:
-        self.rows[room].append(row)
+    def put(self, room: int, rows: tuple[int, int]) -> None:
+        if not room or not rows[1]:
+            return
+        self.ranges[room].append(rows)
         node = self.base + room
         while node:
             self.count[node] += 1
             node >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
-        """Take out the row with the least room of at least `need`: (room, row)."""
+    def take(self, need: int) -> tuple[int, tuple[int, int]] | None:
+        """Take out a range of rows with the least room of at least `need`: (room, range)."""
         count, node = self.count, self.base + need
         while not count[node]:
             while node & 1:  # a right child: its subtree and all to the left are done
@@ -53,107 +62,152 @@ class Room:
         while node < self.base:
             node = 2 * node if count[2 * node] else 2 * node + 1
         room = node - self.base
-        row = self.rows[room].pop()
+        rows = self.ranges[room].pop()
         while node:
             count[node] -= 1
             node >>= 1
-        return room, row
+        return room, rows
 
 
-def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Rows of item numbers. Longest first, ties by number; each into the fullest row that holds it."""
-    room, rows = Room(capacity), []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        found = room.take(lengths[i])
-        if found is None:
-            found = (capacity, len(rows))
-            rows.append([])
-        left, row = found
-        rows[row].append(i)
-        if left > lengths[i]:
-            room.put(left - lengths[i], row)
-    return rows
+class Deal(NamedTuple):
+    """Pieces first to first + pieces - 1 of a length go to the rows from `row` on, per_row to each, from place `at` on."""
 
+    length: int
+    first: int
+    pieces: int
+    row: int
+    per_row: int
+    at: int
 
-SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, resets array<int>, segments array<struct<id: {kind}, row: long, begin: long, length: int>>"
 
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Deal]:
+    """counts: pieces by length, from 1 to capacity. Longest first, each into the fullest row that holds it.
 
-def _packed(row_tokens: int, pad: int, id_type: str):
+    A piece that has gone into a row makes it fuller, so the next of the same length follows it there while it fits.
+    """
+    room, deals, rows = Room(capacity), [], 0
+    for length in sorted(counts, reverse=True):
+        done, n = 0, counts[length]
+        while done < n:
+            found = room.take(length)
+            if found is None:  # as many new rows as the rest needs
+                left, (row, many) = capacity, (rows, -(-(n - done) // (capacity // length)))
+                rows += many
+            else:
+                left, (row, many) = found
+            per_row = left // length
+            full = min(many, (n - done) // per_row)
+            if full:
+                deals.append(Deal(length, done, full * per_row, row, per_row, capacity - left))
+                room.put(left - per_row * length, (row, full))
+                done += full * per_row
+            if full < many and done < n:  # too few for another whole row
+                deals.append(Deal(length, done, n - done, row + full, n - done, capacity - left))
+                room.put(left - (n - done) * length, (row + full, 1))
+                full, done = full + 1, n
+            room.put(left, (row + full, many - full))
+    return deals
+
+
+def _pieces(row_tokens: int, names: list[str]):
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
         encode = Encoder()
-        partition = TaskContext.get().partitionId()
-        state = {"rows": 0, "packs": 0}
-        window: list[tuple] = []
-
-        def flush():
-            pieces = []
-            for doc, number, data in window:
-                n = len(data) // 2
-                pieces += [(doc, number, at, min(row_tokens, n - at), data) for at in range(0, n, row_tokens)]
-            out = {k: [] for k in ("pack_id", "ids", "n_tokens", "cu_seqlens", "resets", "segments")}
-            for row in best_fit_decreasing([p[3] for p in pieces], row_tokens):
-                ids = b"".join(pieces[i][4][2 * pieces[i][2] : 2 * (pieces[i][2] + pieces[i][3])] for i in row)
-                ends = np.cumsum([0, *(pieces[i][3] for i in row)]).tolist()
-                out["pack_id"].append((partition << 40) + state["packs"])
-                out["ids"].append(ids + np.full(row_tokens - ends[-1], pad, "<u2").tobytes())
-                out["n_tokens"].append(ends[-1])
-                out["cu_seqlens"].append(ends)
-                out["resets"].append(ends[:-1])
-                out["segments"].append([{"id": pieces[i][0], "row": pieces[i][1], "begin": pieces[i][2], "length": pieces[i][3]} for i in row])
-                state["packs"] += 1
-                if len(out["ids"]) >= 2000:
-                    yield out
-                    out = {k: [] for k in out}
-            if out["ids"]:
-                yield out
-
-        def arrow(out):
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), None]
-            segment = pa.struct([("id", id_type), ("row", pa.int64()), ("begin", pa.int64()), ("length", pa.int32())])
-            kinds[-1] = pa.list_(segment)
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-
-        held = 0
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for i in range(b.num_rows):
-                text = texts[i].as_py()
+            of, begin, data = [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
                 if text:
-                    data = encode(text)
-                    window.append((ids[i].as_py(), state["rows"], data))
-                    held += len(data) // 2
-                state["rows"] += 1
-                if held >= WINDOW_TOKENS:
-                    yield from map(arrow, flush())
-                    window.clear()
-                    held = 0
-        yield from map(arrow, flush())
+                    ids = encode(text)
+                    for at in range(0, len(ids), 2 * row_tokens):
+                        of.append(i), begin.append(at // 2), data.append(ids[at : at + 2 * row_tokens])
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(begin, pa.int64()), pa.array([len(x) // 2 for x in data], pa.int32()), pa.array(data, pa.binary())], names)
 
     return run
 
 
+def _matrix(row_tokens: int, pad: int):
+    """Rows of pieces, sorted by row and place, as packed rows."""
+
+    def built(t):
+        import pyarrow as pa
+
+        row, at, length = (t[c].to_numpy() for c in ("row", "at", "length"))
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        n = np.diff(np.append(first, len(row)))
+        total = np.add.reduceat(length, first)
+        which = np.repeat(np.arange(len(first)), n)
+        tokens = t["tokens"].combine_chunks()
+        edge = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+        data = np.frombuffer(tokens.buffers()[2], np.uint8)[edge[0] : edge[-1]].view("<u2")
+        ids = np.full((len(first), row_tokens), pad, "<u2")
+        before = np.cumsum(length, dtype=np.int64) - length
+        ids.reshape(-1)[np.repeat(which.astype(np.int64) * row_tokens + at - before, length) + np.arange(len(data))] = data
+        lists = lambda values, sizes: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+        whole = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.arange(len(first) + 1) * 2 * row_tokens).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        cu = np.insert(at, np.append(first[1:], len(at)), total).astype(np.int32)
+        segments = pa.StructArray.from_arrays([t[c].combine_chunks() for c in ("id", "text_hash", "begin", "length")], ["id", "text_hash", "begin", "length"])
+        columns = [pa.array(row[first]), whole, pa.array(total.astype(np.int32)), lists(pa.array(cu), n + 1), lists(pa.array(at.astype(np.int32)), n), lists(segments, n)]
+        return pa.RecordBatch.from_arrays(columns, ["pack_id", "ids", "n_tokens", "cu_seqlens", "resets", "segments"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is None:
+                t = held
+            else:
+                t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if t is None or not len(t):
+                continue
+            # the last row may go on in the next batch
+            done = len(t) if b is None else int(np.searchsorted(t["row"].to_numpy(), t["row"][-1].as_py()))
+            held = t.slice(done)
+            if done:
+                yield built(t.slice(0, done).combine_chunks())
+
+    return run
+
+
+SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, resets array<int>, segments array<struct<id: {kind}, text_hash: long, begin: long, length: int>>"
+
+
 def pack(docs: DataFrame, path: str | None = None, row_tokens: int = 2048, pad: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write packed rows to path (a fresh folder in the shared directory if none) and return them as read again.
 
     Null and empty texts have no tokens and so no segment; every other row of docs is packed, repeated rows
-    each time. n_tokens, not the pad id, tells where a row ends. Further columns are ignored. An empty table writes none.
+    each time (they are alike, so which of them is where makes no difference). Ids may be of any type that can be ordered.
+    n_tokens, not the pad id, tells where a row ends. Further columns are ignored. An empty table writes none.
     """
-    import pyarrow as pa
-
     spark = docs.sparkSession
     path = path or shared_path(spark, "packed")
     kind = dict(docs.dtypes)[id_col]
-    arrow_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    rows = docs.select(id_col, text_col).mapInArrow(_packed(row_tokens, pad, arrow_type), SCHEMA.format(kind=kind))
-    rows.write.parquet(path)
+    with Scratch(spark, "packing") as scratch:
+        names = ["id", "text_hash", "begin", "length", "tokens"]
+        texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+        pieces = scratch.write(texts.mapInArrow(_pieces(row_tokens, names), f"id {kind}, text_hash long, begin long, length int, tokens binary"), "pieces")
+        counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most row_tokens rows
+        plan = spark.createDataFrame(best_fit_decreasing(counts, row_tokens), "of int, first long, pieces long, to long, per_row long, place int")
+        dealt = spark.createDataFrame([(n, -(-c // BUCKET_PIECES)) for n, c in counts.items()], "of int, buckets long")
+
+        hashed = pieces.withColumn("h", F.xxhash64("id", "text_hash", "begin")).join(F.broadcast(dealt), F.col("length") == F.col("of")).withColumn("bucket", F.pmod("h", "buckets")).drop("of", "buckets")
+        sums = hashed.groupBy("length", "bucket").count()
+        earlier = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = scratch.write(sums.select("length", "bucket", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before")), "bucket-sums")
+        within = Window.partitionBy("length", "bucket").orderBy("h", "id", "text_hash", "begin")
+        numbered = hashed.withColumn("nth", F.row_number().over(within)).join(small(sums), ["length", "bucket"])
+        numbered = numbered.withColumn("number", F.col("before") + F.col("nth") - 1).drop("h", "bucket", "nth", "before")
+        j = F.col("number") - F.col("first")
+        placed = numbered.join(small(plan), (F.col("length") == F.col("of")) & (j >= 0) & (j < F.col("pieces")))
+        placed = placed.select("id", "text_hash", "begin", "length", "tokens", (F.col("to") + F.floor(j / F.col("per_row"))).alias("row"), (F.col("place") + F.pmod(j, F.col("per_row")) * F.col("length")).alias("at"))
+        placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_matrix(row_tokens, pad), SCHEMA.format(kind=kind)).write.parquet(path)
     return spark.read.parquet(path)
 
 
 def segments(packed: DataFrame) -> DataFrame:
-    """The round trip: one row per segment with its document's id and row, its place there, and its token bytes."""
-    one = packed.select("pack_id", "ids", F.posexplode("segments").alias("at", "s"), "cu_seqlens")
-    first = F.element_at("cu_seqlens", F.col("at") + 1)
-    return one.select(F.shiftright("pack_id", 40).alias("partition"), "s.*", F.expr("substring(ids, 2 * element_at(cu_seqlens, at + 1) + 1, 2 * s.length)").alias("tokens"), first.alias("position"))
+    """The round trip: one row per segment with its document's id and text hash, its place there, and its token bytes."""
+    one = packed.select("pack_id", "ids", F.posexplode("segments").alias("nth", "s"), "cu_seqlens")
+    position = F.element_at("cu_seqlens", F.col("nth") + 1).alias("position")
+    return one.select("pack_id", "s.*", F.expr("substring(ids, 2 * element_at(cu_seqlens, nth + 1) + 1, 2 * s.length)").alias("tokens"), position)

@@ -374,40 +374,64 @@ def test_op7_rules_and_verdicts(spark):
 
 
 def test_op8_packing_is_lossless(spark):
-    texts = [*EDGES, prose(7, 400)]
+    texts = [*EDGES, prose(7, 400), prose(8, 20_000)]
     docs = frame(spark, texts).union(frame(spark, texts[:6]))
     packed = packing.pack(docs, row_tokens=128)
     encode = pieces.Encoder()
-    pieces_of = collections.defaultdict(list)
+    whole = collections.Counter()
     for s in packing.segments(packed).collect():
         assert len(s.tokens) == 2 * s.length
-        pieces_of[s.partition, s.row].append((s.begin, bytes(s.tokens), s.id))
-    whole = collections.Counter()
-    for parts in pieces_of.values():
-        parts.sort()
-        whole[parts[0][2], b"".join(p[1] for p in parts)] += 1
-    want = collections.Counter((i, encode(t)) for i, t in [*enumerate(texts), *enumerate(texts[:6])] if t)
+        whole[s.id, s.begin, bytes(s.tokens)] += 1
+    want = collections.Counter()
+    for i, t in [*enumerate(texts), *enumerate(texts[:6])]:
+        ids = encode(t) if t else b""
+        want.update((i, at // 2, ids[at : at + 256]) for at in range(0, len(ids), 256))
     assert whole == want
-    for r in packed.collect():
+    rows = packed.collect()
+    for r in rows:
         assert len(r.ids) == 256 and r.cu_seqlens[-1] == r.n_tokens <= 128 and r.resets == r.cu_seqlens[:-1]
         assert r.cu_seqlens == np.cumsum([0, *(s.length for s in r.segments)]).tolist()
+        assert not any(r.ids[2 * r.n_tokens :])
+    assert sorted(r.pack_id for r in rows) == list(range(len(rows)))
+    # the rows that a plain search over all pieces fills
+    assert sorted(r.n_tokens for r in rows) == sorted(128 - x for x in plain_rooms([len(x) // 2 for (_, _, x), n in want.items() for _ in range(n)], 128))
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_op8_rows_do_not_depend_on_the_input_partitions(spark):
+    texts = [prose(i, 5 + 7 * (i % 40)) for i in range(300)] + [prose(1, 50)] * 40
+    docs = frame(spark, texts).selectExpr("cast(doc_id as smallint) doc_id", "text", "1 id", "2 length", "3 row").union(frame(spark, texts[:9]).selectExpr("cast(null as smallint)", "text", "1", "2", "3"))
+    packs = [sorted(map(repr, packing.pack(d, row_tokens=256).collect())) for d in (docs.coalesce(1), docs.repartition(7), docs.orderBy("text"))]
+    assert packs[0] == packs[1] == packs[2]
+
+
+def plain_rooms(items, capacity):
+    """Room left in each row after best-fit-decreasing, piece by piece."""
+    rooms = []
+    for n in sorted(items, reverse=True):
+        fit = min((x for x in rooms if x >= n), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((capacity if fit is None else fit) - n)
+    return rooms
+
+
 def test_op8_best_fit_equals_a_plain_search():
     r = random.Random(5)
-    for _ in range(60):
+    for _ in range(300):
         capacity = r.choice([1, 7, 64, 100])
-        items = [r.randrange(1, capacity + 1) for _ in range(r.randrange(0, 80))]
-        rooms = []
-        for i in sorted(range(len(items)), key=lambda i: (-items[i], i)):
-            fit = min((x for x in rooms if x >= items[i]), default=None)
-            if fit is not None:
-                rooms.remove(fit)
-            rooms.append((capacity if fit is None else fit) - items[i])
-        got = packing.best_fit_decreasing(items, capacity)
-        assert sorted(i for row in got for i in row) == list(range(len(items)))
-        assert sorted(capacity - sum(items[i] for i in row) for row in got) == sorted(rooms)
+        items = [r.randrange(1, r.choice([2, capacity + 1])) if capacity > 1 else 1 for _ in range(r.randrange(0, 120))]
+        counts, held, numbers = collections.Counter(items), collections.defaultdict(list), collections.defaultdict(list)
+        for d in packing.best_fit_decreasing(counts, capacity):
+            for j in range(d.pieces):
+                numbers[d.length].append(d.first + j)
+                held[d.row + j // d.per_row].append((d.at + j % d.per_row * d.length, d.length))
+        assert {n: sorted(x) for n, x in numbers.items()} == {n: list(range(c)) for n, c in counts.items()}
+        for row in held.values():  # without gaps
+            row.sort()
+            assert [at for at, _ in row] == [sum(n for _, n in row[:i]) for i in range(len(row))]
+        assert sorted(held) == list(range(len(held)))
+        assert sorted(capacity - sum(n for _, n in row) for row in held.values()) == sorted(plain_rooms(items, capacity))
 
 
 # --- 9
