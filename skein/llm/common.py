@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -88,6 +89,22 @@ class Scratch:
         sweep(self.spark)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into short ones, so that a worker holds few texts at once as Python strings. At the end the
+    worker, which Spark keeps for the next task, gives back the memory it has not in use."""
+    import ctypes
+
+    import pyarrow as pa
+
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts of plain ASCII take Spark's fast path."""
     plain = F.octet_length(text) == F.char_length(text)

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, thinned
+from .common import Scratch, slices, small, thinned
 from .components import components
 from .shingles import GROUP_BYTES, Shingler, mix
 
@@ -115,7 +115,7 @@ def _describe(k: int, num: int, den: int, slack: float, digest_bits: int):
 
         plan, shingler = Plan(num, den, slack), Shingler(k)
         sent: set[tuple[int, int]] = set()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(2).to_pylist()
             for i, j, text, hashed in shingler.sets(texts):
                 m = j - i
@@ -251,7 +251,7 @@ def _segments(k: int, digest_bits: int):
 
         shingler = Shingler(k)
         sent: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             if len(sent) > 1_000_000:
                 sent.clear()
             keys = b.column(1).to_pylist()

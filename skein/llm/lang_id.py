@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: First and last code point of the main ranges of each script.
 SCRIPTS = [
     ("latin", 0x0041, 0x024F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x0370, 0x03FF), ("greek", 0x1F00, 0x1FFF),
@@ -187,7 +189,7 @@ def _count(langs: list[str]):
 
         letters = Letters()
         counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
-        for b in batches:
+        for b in slices(batches):
             texts, of = b.column(0).to_pylist(), np.array([langs.index(x) for x in b.column(1).to_pylist()])
             for i, j in groups(texts):
                 w = Words(texts[i:j], letters)
@@ -232,7 +234,7 @@ def _predict(model: Model | None, penalty: float, id_name: str):
 
         letters = Letters()
         span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for b in batches:
+        for b in slices(batches):
             for i, j in groups([x or "" for x in b.column(1).to_pylist()]):
                 texts = [x or "" for x in b.column(1).slice(i, j - i).to_pylist()]
                 out = list(model.spans(texts, letters, penalty)) if model else [("und", 0.0, [])] * len(texts)

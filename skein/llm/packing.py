@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_path, small
+from .common import Scratch, shared_path, slices, small
 from .pieces import Encoder
 
 BUCKET_PIECES = 2000
@@ -114,7 +114,7 @@ def _pieces(row_tokens: int, names: list[str]):
         import pyarrow as pa
 
         encode = Encoder()
-        for b in batches:
+        for b in slices(batches):
             of, begin, data = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 if text:
@@ -155,7 +155,7 @@ def _matrix(row_tokens: int, pad: int):
         import pyarrow as pa
 
         held = None
-        for b in itertools.chain(batches, [None]):
+        for b in itertools.chain(slices(batches), [None]):
             if b is None:
                 t = held
             else:

@@ -13,7 +13,7 @@ import re
 import unicodedata
 
 LIMIT = 0x180
-MAX_PIECES = 300_000
+MAX_PIECES = 150_000
 LONG_PIECE = 48
 SPECIAL = "<|endoftext|>"
 

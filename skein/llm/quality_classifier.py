@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
 from .weak import RULES, TextStats, pattern_code, posterior_by_pattern, votes
 
 DIM = 1 << 12
@@ -45,7 +46,7 @@ def _votes():
         import pyarrow as pa
 
         stats = TextStats()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([pattern_code(votes(stats(x.as_py()))) for x in b.column(0)], pa.int64())], ["votes"])
 
     return run
@@ -56,7 +57,7 @@ def _sampled():
         import pyarrow as pa
 
         stats = TextStats()
-        for b in batches:
+        for b in slices(batches):
             texts = [x or "" for x in b.column(0).to_pylist()]
             s = [stats(t) for t in texts]
             x = features(texts, s).astype(np.float16)
@@ -114,32 +115,32 @@ def _score(scorer: Scorer, names: list[str], text_at: int, dropped: list[int]):
         import pyarrow as pa
 
         stats = TextStats()
-        for b in batches:
-            scores, codes = [], []
-            for i in range(0, b.num_rows, 64):
-                texts = [x or "" for x in b.column(text_at).slice(i, 64).to_pylist()]
-                s = [stats(t) for t in texts]
-                scores += scorer(features(texts, s)).tolist()
-                codes += [pattern_code(votes(y)) for y in s]
+        for b in slices(batches, 64):
+            texts = [x or "" for x in b.column(text_at).to_pylist()]
+            s = [stats(t) for t in texts]
+            codes = [scorer.posterior.get(pattern_code(votes(y))) for y in s]
             columns = [b.column(k) for k in range(b.num_columns) if k not in dropped]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array([scorer.posterior.get(c) for c in codes], pa.float64())], [*names, "quality_score", "quality_posterior"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(scorer(features(texts, s)).tolist(), pa.float64()), pa.array(codes, pa.float64())], names)
 
     return run
 
 
-def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """docs with quality_score (the scorer's) and quality_posterior (the votes', null for a pattern not seen in
-    training); columns of docs by these names are replaced. Null text counts as empty: it has no features, so
-    it gets the scorer's bias. Every row gives one row, in the same partition.
+ADDED = ("quality_score", "quality_posterior", "quality_kept")
+
+
+def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """docs with two columns, the scorer's score and the votes' posterior (null for a pattern not seen in training);
+    columns of docs by their names (the first two of added) are replaced. Null text counts as empty: it has no features,
+    so it gets the scorer's bias. Every row gives one row, in the same partition.
     """
-    added = {"quality_score", "quality_posterior"}
-    dropped = [i for i, c in enumerate(docs.columns) if c in added]
-    kept = [f for f in docs.schema.fields if f.name not in added]
-    schema = T.StructType([*kept, T.StructField("quality_score", T.DoubleType()), T.StructField("quality_posterior", T.DoubleType())])
-    return docs.mapInArrow(_score(scorer, [f.name for f in kept], docs.columns.index(text_col), dropped), schema)
+    dropped = [i for i, c in enumerate(docs.columns) if c in added[:2]]
+    kept = [f for f in docs.schema.fields if f.name not in added[:2]]
+    schema = T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in added[:2])])
+    return docs.mapInArrow(_score(scorer, schema.names, docs.columns.index(text_col), dropped), schema)
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id", **training) -> DataFrame:
-    """docs scored by a model trained on docs, with quality_kept: score >= threshold. See train and score."""
-    out = score(docs.drop("quality_kept"), train(docs, id_col=id_col, text_col=text_col, **training), text_col)
-    return out.withColumn("quality_kept", F.col("quality_score") >= threshold)
+def classify(docs: DataFrame, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id", added: tuple[str, str, str] = ADDED, **training) -> DataFrame:
+    """docs scored by a model trained on docs, with a third column: score >= threshold. Columns of docs named like one of
+    added are replaced; give other names to keep them. See train and score."""
+    out = score(docs.drop(added[2]), train(docs, id_col=id_col, text_col=text_col, **training), text_col, added)
+    return out.withColumn(added[2], F.col(added[0]) >= threshold)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 from .weak import TextStats, pattern_code, posterior_by_pattern, votes
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -21,7 +21,7 @@ def _measure(id_name: str):
         import pyarrow as pa
 
         stats = TextStats()
-        for b in batches:
+        for b in slices(batches):
             texts, rows = b.column(1), {k: [] for k in [*STATS, "votes"]}
             for i in range(len(texts)):
                 s = stats(texts[i].as_py())

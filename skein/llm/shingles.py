@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text handled at once; bounds memory (a longer text is handled alone).
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
