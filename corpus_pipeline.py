@@ -26,8 +26,11 @@ def _key():
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier keeps."""
-    judged = quality_classifier.classify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), "doc_id", "text"))
-    return judged.filter("quality_kept").select("whole.*")
+    added = ["quality_score", "quality_posterior", "quality_kept"]
+    while set(added) & set(docs.columns):
+        added = ["_" + c for c in added]
+    judged = quality_classifier.classify(docs, added=tuple(added))
+    return judged.filter(F.col(added[2])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
