@@ -37,6 +37,7 @@ from .components import components
 from .shingles import GROUP_BYTES, Shingler, mix
 
 SKETCH = 8  # longs: one parity bit for each of 512 hash classes
+WIDE = 512  # larger sets also have a sketch of about as many bits as n-grams
 SMALL = 48  # sets below this size use one fragment for each n-gram
 GROWTH = 1.5  # of the size classes
 COMMON = 64  # a signature of more classes than this is passed over where possible
@@ -96,7 +97,15 @@ def _digests(hashed: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64)).view(np.int64), (total2[at[1:]] - total2[at[:-1]]).view(np.int64), mixed
 
 
-ROWS = "id {kind}, th long, n int, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", own array<long>, low array<long>, n_own int, n_low int, d_own int, d_low int"
+def _parities(mixed: np.ndarray) -> np.ndarray:
+    """Parity bits of as many hash classes, a power of two, as the set has n-grams, or a few more. The sketch of half as
+    many classes is the exclusive or of its halves."""
+    bits = 1 << int(len(mixed) - 1).bit_length()
+    odd = np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+ROWS = "id {kind}, th long, n int, d1 long, d2 long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", wide array<long>, own array<long>, low array<long>, n_own int, n_low int, d_own int, d_low int"
 #: Signatures that a short set is taken to need: more than it can have, so it passes over none.
 ALL = (1 << 31) - 1
 
@@ -126,26 +135,27 @@ def _describe(k: int, num: int, den: int, slack: float, digest_bits: int):
                 bits = np.bincount(text * (64 * SKETCH) + (mixed % np.uint64(64 * SKETCH)).astype(np.int64), minlength=m * 64 * SKETCH) & 1
                 sketch = np.packbits(bits.astype(np.uint8).reshape(m, -1), axis=1).view(np.int64)
                 space = plan.space(n)
-                own, low, counts = [], [], []
+                wide, own, low, counts = [], [], [], []
                 for t in range(m):
                     size, c = int(n[t]), int(space[t])
                     key = int(d1[t]), int(d2[t])
                     if not size or key in sent:  # a copy: its class has been described by this task
-                        own.append(None), low.append(None), counts.append((0, 0, 0, 0))
+                        wide.append(None), own.append(None), low.append(None), counts.append((0, 0, 0, 0))
                         continue
                     if len(sent) >= 1_000_000:
                         sent.clear()
                     sent.add(key)
                     part = hashed[at[t] : at[t + 1]]
+                    wide.append(_parities(mixed[at[t] : at[t + 1]]) if size > WIDE else None)
                     x, need_x = _own(part, c, plan.differ(size, c, True), plan)
                     y, need_y = _own(part, c - 1, plan.differ(size, c - 1, False), plan) if plan.lower(size, c) else (x[:0], 0)
                     counts.append((len(x), len(y), need_x, need_y))
                     own.append(x.view(np.int64)), low.append(y.view(np.int64))
                 counts = np.array(counts, dtype=np.int32).reshape(m, 4)
-                lists = [pa.array(x, pa.list_(pa.int64())) for x in (own, low)]
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (wide, own, low)]
                 none = n == 0
                 columns = [b.column(0).slice(i, m), b.column(1).slice(i, m), pa.array(n.astype(np.int32)), pa.array(d1, mask=none), pa.array(d2, mask=none), *(pa.array(np.ascontiguousarray(sketch[:, s])) for s in range(SKETCH)), *lists, *(pa.array(np.ascontiguousarray(counts[:, c])) for c in range(4))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "d1", "d2", *(f"s{s}" for s in range(SKETCH)), "own", "low", "n_own", "n_low", "d_own", "d_low"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "th", "n", "d1", "d2", *(f"s{s}" for s in range(SKETCH)), "wide", "own", "low", "n_own", "n_low", "d_own", "d_low"])
 
     return run
 
@@ -308,7 +318,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, dig
 
 
 def _by_prefix(docs: DataFrame, about: DataFrame, minor: DataFrame, classes: DataFrame, k: int, digest_bits: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs (leader, key), of different components, of a class in minor (key) and one in about (key, n, sketch, component) that may link.
+    """Pairs (leader, key), of different components, of a class in minor (key) and one in about (key, component) that may link.
 
     A set that links with another holds one of its n-grams among any few of its own, as many as may differ and one more.
     These are its rarest here, looked up among all n-grams of the other classes. Where the first one shared comes, what is
@@ -316,19 +326,19 @@ def _by_prefix(docs: DataFrame, about: DataFrame, minor: DataFrame, classes: Dat
     """
     wanted = about.select("key", F.lit(False).alias("leads"), F.array().cast("array<long>").alias("leaders"))
     segments = _grams(docs, wanted, classes, k, digest_bits, scratch)
-    grams = scratch.write(segments.select("key", F.explode("grams").alias("gram")).join(about, "key"), "open-grams")
+    # dealt out evenly first: each class becomes as many rows as it has n-grams
+    grams = scratch.write(segments.repartition("key").select("key", "n", F.explode("grams").alias("gram")).join(about, "key"), "open-grams")
     scratch.drop(segments)
     rarity = scratch.write(grams.groupBy("gram").agg(F.count("*").alias("holders")).filter("holders > 1"), "rarity")
-    own = grams.select("key", "n", "gram").join(minor, "key", "left_semi")
+    own = grams.join(minor, "key", "left_semi")
     # n-grams of one class alone bring no pair; they are the rarest, so they only move the others back
     mine = Window.partitionBy("key")
     ranked = own.join(rarity, "gram").withColumn("at", F.col("n").cast("long") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("holders", "gram")))
     size = F.col("n").cast("long")
-    prefix = ranked.filter(F.lit(den) * (size - F.col("at") + 1) >= F.lit(num) * size).select("key", "gram", "at")
-    prefix = scratch.write(prefix.join(about, "key"), "prefixes")
+    prefix = scratch.write(ranked.filter(F.lit(den) * (size - F.col("at") + 1) >= F.lit(num) * size).select("key", "n", "component", "gram", "at"), "prefixes")
     n, m = F.col("x.n").cast("long"), F.col("y.n").cast("long")
-    enough = (n - F.col("x.at") + 1) * (num + den) >= num * (n + m)
-    joined = prefix.alias("x").join(grams.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & enough & _bounds(num, den))
+    enough = ((n - F.col("x.at") + 1) * (num + den) >= num * (n + m)) & (den * F.least(n, m) >= num * F.greatest(n, m))
+    joined = prefix.alias("x").join(grams.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & enough)
     pairs = scratch.write(joined.select(F.least("x.key", "y.key").alias("leader"), F.greatest("x.key", "y.key").alias("key")).distinct(), "prefix-pairs")
     scratch.drop(grams, rarity, prefix)
     return pairs
@@ -341,6 +351,23 @@ def _bounds(num: int, den: int):
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & (flips * (den + num) <= (n + m) * (den - num))
 
 
+def _wide_bounds(num: int, den: int):
+    """The same by the wide sketches, where both have one. That of the larger set may be twice as long: it is folded."""
+    x, y = F.col("x.wide"), F.col("y.wide")
+    long, short = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+    flips = F.expr("""aggregate(sequence(0, size(short) - 1), 0, (a, i) -> a + bit_count(short[i] ^ long[i] ^ if(size(long) > size(short), long[i + size(short)], 0L)))""")
+    both = x.isNotNull() & y.isNotNull()
+    return long.alias("long"), short.alias("short"), F.when(F.col("both"), flips * (den + num) <= F.col("sizes") * (den - num)).otherwise(True), both.alias("both")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (leader, key) that sizes and sketches leave possible."""
+    about = classes.select(F.col("key").alias("k"), "n", *(f"s{i}" for i in range(SKETCH)), "wide")
+    near = pairs.join(about.alias("x"), F.col("leader") == F.col("x.k")).join(about.alias("y"), pairs["key"] == F.col("y.k")).filter(_bounds(num, den))
+    long, short, enough, both = _wide_bounds(num, den)
+    return near.select("leader", pairs["key"], long, short, both, (F.col("x.n").cast("long") + F.col("y.n")).alias("sizes")).filter(enough).select("leader", "key")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, slack: float = 1.1, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:
     """One row per row of docs: id, n_shingles (size of its set of word n-grams), component_id.
 
@@ -359,7 +386,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
 def _components(docs: DataFrame, kind: str, words: int, num: int, den: int, slack: float, digest_bits: int, scratch: Scratch) -> DataFrame:
     described = scratch.write(docs.mapInArrow(_describe(words, num, den, slack, digest_bits), ROWS.format(kind=kind)), "described")
-    numbers = ["n", *(f"s{i}" for i in range(SKETCH)), "n_own", "n_low", "d_own", "d_low"]
+    numbers = ["n", *(f"s{i}" for i in range(SKETCH)), "wide", "n_own", "n_low", "d_own", "d_low"]
     # the least id, nulls last; the text's hash tells apart rows that share it
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least")
     digested = scratch.write(described.filter("n > 0").groupBy("d1", "d2").agg(least, *(F.max(c).alias(c) for c in numbers)), "digested")
@@ -387,8 +414,7 @@ def _components(docs: DataFrame, kind: str, words: int, num: int, den: int, slac
 
     about = classes.select("key", "n", *(f"s{i}" for i in range(SKETCH)))
     near = scratch.write(kept.filter("leader <> key").select("leader", "key").distinct(), "led")
-    star = near.join(about.alias("x"), F.col("leader") == F.col("x.key")).join(about.alias("y"), near["key"] == F.col("y.key")).filter(_bounds(num, den)).select("leader", near["key"])
-    star = scratch.write(star, "pairs")
+    star = scratch.write(_possible(near, classes, num, den), "pairs")
     linked = _verified(docs, star, classes, words, digest_bits, num, den, scratch)
     found = scratch.write(components(linked, scratch), "components")
 
@@ -411,10 +437,11 @@ def _components(docs: DataFrame, kind: str, words: int, num: int, den: int, slac
         sizes = crowd.groupBy("sig", F.col("component").alias("c")).count()
         major = scratch.write(sizes.groupBy(F.col("sig").alias("of")).agg(F.max(F.struct("count", "c")).alias("major")), "majors")
         minor = scratch.write(crowd.join(major, (F.col("sig") == F.col("of")) & (F.col("component") != F.col("major.c"))).select("key").distinct(), "minor-classes")
-        crowd = scratch.write(crowd.drop("sig").distinct(), "open-classes")
+        crowd = scratch.write(crowd.select("key", "component").distinct(), "open-classes")
         cross = cross.union(_by_prefix(docs, crowd, minor, classes, words, digest_bits, num, den, scratch))
     tried = star.select(F.least("leader", "key").alias("leader"), F.greatest("leader", "key").alias("key"))
-    more = scratch.write(cross.distinct().join(tried, ["leader", "key"], "left_anti"), "pairs")
+    more = scratch.write(cross.distinct().join(tried, ["leader", "key"], "left_anti"), "cross-pairs")
+    more = scratch.write(_possible(more, classes, num, den), "pairs")
     if more.limit(1).count():
         linked = linked.union(_verified(docs, more, classes, words, digest_bits, num, den, scratch))
         found = scratch.write(components(linked, scratch), "components")
