@@ -37,13 +37,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it again; `path` of the result says where.
 
     Cuts the lineage: a lost executor loses nothing that was written.
     """
     path = path or shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -72,9 +72,9 @@ class Scratch:
     def __enter__(self):
         return self
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self.made += 1
-        return materialise(df, name, f"{self.root}/{self.made:03d}-{name}")
+        return materialise(df, name, f"{self.root}/{self.made:03d}-{name}", codec)
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:

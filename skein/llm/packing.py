@@ -187,7 +187,7 @@ def pack(docs: DataFrame, path: str | None = None, row_tokens: int = 2048, pad:
     with Scratch(spark, "packing") as scratch:
         names = ["id", "text_hash", "begin", "length", "tokens"]
         texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-        pieces = scratch.write(texts.mapInArrow(_pieces(row_tokens, names), f"id {kind}, text_hash long, begin long, length int, tokens binary"), "pieces")
+        pieces = scratch.write(texts.mapInArrow(_pieces(row_tokens, names), f"id {kind}, text_hash long, begin long, length int, tokens binary"), "pieces", "zstd")
         counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most row_tokens rows
         plan = spark.createDataFrame(best_fit_decreasing(counts, row_tokens), "of int, first long, pieces long, to long, per_row long, place int")
         dealt = spark.createDataFrame([(n, -(-c // BUCKET_PIECES)) for n, c in counts.items()], "of int, buckets long")
@@ -202,7 +202,10 @@ def pack(docs: DataFrame, path: str | None = None, row_tokens: int = 2048, pad:
         j = F.col("number") - F.col("first")
         placed = numbered.join(small(plan), (F.col("length") == F.col("of")) & (j >= 0) & (j < F.col("pieces")))
         placed = placed.select("id", "text_hash", "begin", "length", "tokens", (F.col("to") + F.floor(j / F.col("per_row"))).alias("row"), (F.col("place") + F.pmod(j, F.col("per_row")) * F.col("length")).alias("at"))
-        placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_matrix(row_tokens, pad), SCHEMA.format(kind=kind)).write.parquet(path)
+        # written first: then the pieces and the shuffle by length can go before that by row
+        placed = scratch.write(placed, "placed", "zstd")
+        scratch.drop(pieces)
+        placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_matrix(row_tokens, pad), SCHEMA.format(kind=kind)).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
