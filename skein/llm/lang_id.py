@@ -26,6 +26,10 @@ SCRIPTS = [
 ]
 SCRIPT_NAMES = ["", *dict.fromkeys(s for s, _, _ in SCRIPTS), "other"]
 BUCKETS = 1 << 16
+#: Numbers that a model holds at most: above CELLS / BUCKETS languages the n-grams share fewer buckets.
+CELLS = 1 << 24
+#: Score of a word in a language that its script rules out: no sum of n-gram scores or penalties comes near it.
+BARRED = -1e9
 ORDERS = (1, 2, 3)
 #: Characters handled at once; bounds memory (a longer text is handled alone).
 GROUP_CHARS = 3_000_000
@@ -69,7 +73,7 @@ class Words:
         self.script = script[self.begin]
         self.text = np.searchsorted(self.base, self.begin, side="right") - 1
 
-    def grams(self):
+    def grams(self, buckets: int):
         """Blocks of (first word, last word, word number within the block, bucket) of hashed n-grams with word ends."""
         size = np.cumsum(self.end - self.begin)
         first = 0
@@ -95,7 +99,7 @@ class Words:
                 if k == 1:
                     ok &= inside
                 rows.append(row[: len(h)][ok])
-                hashed.append((h[ok] >> np.uint64(7)).astype(np.int64) % BUCKETS)
+                hashed.append((h[ok] >> np.uint64(7)).astype(np.int64) % buckets)
             yield first, last, np.concatenate(rows), np.concatenate(hashed)
             first = last
 
@@ -117,8 +121,9 @@ def viterbi(score: np.ndarray, begin: np.ndarray, n: np.ndarray, penalty: float)
     order = np.argsort(-n, kind="stable")
     begin, n = begin[order], n[order]
     n_lang = score.shape[1]
-    back = np.zeros(score.shape, np.uint8)
-    own = np.arange(n_lang, dtype=np.uint8)
+    kind = np.uint8 if n_lang <= 1 << 8 else np.uint16 if n_lang <= 1 << 16 else np.uint32
+    back = np.zeros(score.shape, kind)
+    own = np.arange(n_lang, dtype=kind)
     best = np.zeros((len(n), n_lang), np.float32)
     steps = int(n[0]) if len(n) else 0
     alive = np.searchsorted(-n, -np.arange(steps), side="left")
@@ -128,9 +133,9 @@ def viterbi(score: np.ndarray, begin: np.ndarray, n: np.ndarray, penalty: float)
         top = v.argmax(1)
         switch = v[np.arange(k), top][:, None] - penalty
         stay = v >= switch
-        back[rows] = np.where(stay, own, top.astype(np.uint8)[:, None])
+        back[rows] = np.where(stay, own, top.astype(kind)[:, None])
         best[:k] = np.where(stay, v, switch) + score[rows]
-    label = np.zeros(len(score), np.uint8)
+    label = np.zeros(len(score), kind)
     state = best.argmax(1)
     for t in range(steps - 1, -1, -1):
         k = alive[t]
@@ -141,28 +146,37 @@ def viterbi(score: np.ndarray, begin: np.ndarray, n: np.ndarray, penalty: float)
 
 
 class Model:
-    """Log-probabilities of buckets and allowed languages of scripts, from counts of learned words."""
+    """Log-probabilities of buckets and candidate languages of scripts, from counts of learned words.
+
+    counts: one row per language, of its n-grams' buckets and then its words' scripts."""
 
     def __init__(self, langs: list[str], counts: np.ndarray, smoothing: float = 0.5, rare: float = 0.001):
-        self.langs = langs
-        grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
+        self.langs, self.buckets = langs, counts.shape[1] - len(SCRIPT_NAMES)
+        grams, scripts = counts[:, : self.buckets], counts[:, self.buckets :]
         total = grams.sum(1, keepdims=True)
         # N-grams of one word overlap: a word counts as much as its letters, not all orders of them.
-        self.logp = (np.log((grams + smoothing) / (total + smoothing * BUCKETS)).T / len(ORDERS)).astype(np.float32)
+        self.logp = (np.log((grams + smoothing) / (total + smoothing * self.buckets)) / len(ORDERS)).astype(np.float32)
         seen = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         allowed = seen >= rare
         allowed[:, ~allowed.any(0)] = True  # a script never learned narrows nothing
-        self.barred = np.where(allowed.T, 0, -50.0).astype(np.float32)
+        self.candidates = [np.flatnonzero(allowed[:, s]) for s in range(len(SCRIPT_NAMES))]
+
+    def scores(self, w: Words) -> np.ndarray:
+        """Score of each word in each language: only those that the word's script leaves are computed."""
+        score = np.full((len(w.begin), len(self.langs)), BARRED, np.float32)
+        for first, last, row, bucket in w.grams(self.buckets):
+            script = w.script[first:last]
+            for s in np.unique(script):
+                rows = np.flatnonzero(script == s)
+                mine = slice(None) if len(rows) == len(script) else np.flatnonzero(script[row] == s)
+                for j in self.candidates[s]:
+                    score[first + rows, j] = np.bincount(row[mine], self.logp[j][bucket[mine]], last - first)[rows]
+        return score
 
     def spans(self, texts: list[str], letters: Letters, penalty: float):
         """Per text: language, score, and spans (begin, end, language) in characters."""
         w = Words(texts, letters)
-        score = np.zeros((len(w.begin), len(self.langs)), np.float32)
-        for first, last, row, bucket in w.grams():
-            part = self.logp[bucket]
-            for j in range(len(self.langs)):
-                score[first:last, j] = np.bincount(row, part[:, j], last - first)
-        score += self.barred[w.script]
+        score = self.scores(w)
         n = np.bincount(w.text, minlength=len(texts))
         begin = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64) if len(n) else n
         label = viterbi(score, begin, n, penalty)
@@ -183,48 +197,51 @@ class Model:
                 yield "und", 0.0, []
 
 
-def _count(langs: list[str]):
+def _count(langs: list[str], buckets: int):
     def run(batches):
         import pyarrow as pa
 
-        letters = Letters()
-        counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
+        letters, number = Letters(), {x: i for i, x in enumerate(langs)}
+        counts: dict[int, np.ndarray] = {}
         for b in slices(batches):
-            texts, of = b.column(0).to_pylist(), np.array([langs.index(x) for x in b.column(1).to_pylist()])
+            texts, of = b.column(0).to_pylist(), np.array([number[x] for x in b.column(1).to_pylist()])
             for i, j in groups(texts):
                 w = Words(texts[i:j], letters)
                 lang = of[i:j][w.text]
-                for first, last, row, bucket in w.grams():
-                    np.add.at(counts, (lang[first:last][row], bucket), 1)
-                np.add.at(counts, (lang, BUCKETS + w.script.astype(np.int64)), 1)
-        at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["lang", "bucket", "n"])
+                for k in np.unique(lang).tolist():
+                    if k not in counts:
+                        counts[k] = np.zeros(buckets + len(SCRIPT_NAMES), np.int64)
+                    counts[k][buckets:] += np.bincount(w.script[lang == k], minlength=len(SCRIPT_NAMES))
+                for first, last, row, bucket in w.grams(buckets):
+                    whose = lang[first:last][row]
+                    for k in np.unique(whose).tolist():
+                        counts[k][:buckets] += np.bincount(bucket[whose == k], minlength=buckets)
+        for k, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
     return run
 
 
-def learn(labelled: DataFrame, per_lang: int = 1500, max_langs: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def learn(labelled: DataFrame, per_lang: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Model of the rows with a language and a text; None if there are none.
 
-    It is fitted on a bounded sample, about per_lang texts of each language, drawn by a hash of the id.
-    Counts come to the driver as one number per language and bucket, whatever the number of texts.
+    It is fitted on a bounded sample, about per_lang texts of each language, drawn by a hash of id and text. The driver
+    gets one number per language and bucket, CELLS at most, whatever the number of texts and languages.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return None
     langs = sorted(sizes)
+    buckets = min(BUCKETS, 1 << max(8, (CELLS // len(langs)).bit_length() - 1))
     million = 1_000_000
-    drawn = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(million))
-    limit = F.lit(0)
-    for lang in langs:
-        limit = F.when(F.col("lang") == lang, F.lit(min(million, -(-per_lang * million // sizes[lang])))).otherwise(limit)
-    sample = rows.filter(drawn < limit).select("text", "lang")
-    found = sample.mapInArrow(_count(langs), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(langs), BUCKETS + len(SCRIPT_NAMES)))
-    counts[found["lang"], found["bucket"]] = found["n"]
+    drawn = F.pmod(F.xxhash64("id", "text", F.lit("language sample")), F.lit(million))
+    limits = rows.sparkSession.createDataFrame([(lang, min(million, -(-per_lang * million // sizes[lang]))) for lang in langs], "of string, share int")
+    sample = rows.join(F.broadcast(limits), F.col("lang") == F.col("of")).filter(drawn < F.col("share")).select("text", "lang")
+    found = sample.mapInArrow(_count(langs, buckets), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(langs), buckets + len(SCRIPT_NAMES)), np.float32)
+    counts[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     return Model(langs, counts)
 
 

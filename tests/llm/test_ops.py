@@ -101,6 +101,49 @@ def test_op2_spans_and_edges(spark):
     assert lang_id.predict(frame(spark, []), model).count() == 0
 
 
+def test_op2_three_hundred_languages(spark):
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    words = [[f"{syllables[i % 100]}{syllables[(i * 7 + j * 13) % 100]}{syllables[(i + i // 100 + j) % 100]}" for j in range(6)] for i in range(300)]
+    texts = [" ".join(w * 4) for w in words]
+    model = lang_id.learn(spark.createDataFrame([(i, t, f"l{i:03d}") for i, t in enumerate(texts)], "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300 and model.buckets < lang_id.BUCKETS and model.logp.size <= lang_id.CELLS
+    got = by_id(lang_id.predict(frame(spark, texts), model))
+    assert [got[i].lang_pred for i in range(300)] == model.langs
+
+
+def test_op2_a_script_rules_languages_out(spark):
+    ru, en = "текст который написан кириллицей", "the and with that from have this which"
+    model = lang_id.learn(spark.createDataFrame([(1, f"{ru} " * 50, "ru"), (2, f"{en} " * 50, "en")], "doc_id long, text string, lang string"))
+    long = "ж" * 400
+    got = by_id(lang_id.predict(frame(spark, [f"{en} {long} {en}", f"{en} {ru}"]), model))
+    assert [s.lang for s in got[0].spans] == ["en", "ru", "en"] and [s.lang for s in got[1].spans] == ["en", "ru"]
+
+
+def test_op2_scores_equal_a_plain_sum(spark):
+    """Whole predictions against word scores added up letter by letter and a search over all label sequences."""
+    import itertools
+
+    model = lang_id.learn(spark.createDataFrame([(1, "der die und nicht über " * 30, "de"), (2, "the and with which that " * 30, "en")], "doc_id long, text string, lang string"))
+    letters = lang_id.Letters()
+    for text in ("the und with", "nicht that Über 12 which", "a", "über-the die"):
+        w = lang_id.Words([text], letters)
+        words = ["".join(map(chr, w.cp[b:e])) for b, e in zip(w.begin, w.end, strict=True)]
+        assert words == re.findall("[a-zäöüß]+", text.lower())
+        score = model.scores(w)
+        for i, word in enumerate(words):
+            alone = lang_id.Words([word], letters)
+            plain = np.zeros(2)
+            for _, _, _, bucket in alone.grams(model.buckets):
+                assert len(bucket) == sum(max(0, len(word) + (2 if k > 1 else 0) - k + 1) for k in lang_id.ORDERS)
+                for x in bucket.tolist():
+                    plain += model.logp[:, x]
+            assert score[i] == pytest.approx(plain, abs=1e-3)
+        best = max(itertools.product(range(2), repeat=len(words)), key=lambda p: sum(score[i, s] for i, s in enumerate(p)) - 8 * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+        size = [sum(len(x) for x, s in zip(words, best, strict=True) if s == k) for k in range(2)]
+        ((lang, share, _),) = model.spans([text], letters, 8.0)
+        assert lang == model.langs[int(np.argmax(size))] and share == pytest.approx(max(size) / sum(size))
+
+
 def test_op2_viterbi_equals_exhaustive_search():
     r = np.random.default_rng(0)
     import itertools
