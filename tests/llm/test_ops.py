@@ -413,6 +413,46 @@ def test_op7_rules_and_verdicts(spark):
     assert [r.verdict for r in alone.collect()] == ["allow", "allow"]
 
 
+def test_op7_features_equal_plain_ones(spark):
+    urls = [None, "http://a.b.example.com/de/x-1?p=1&q=22#f", "https://Ü.example.org", "nourl", "http://h.net/" + "ab/" * 30_000, "http://x.example.com/en/?", ""]
+    base = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "_id long, _url string")
+    host, path = url_filter.host_and_path(base["_url"])
+    for r in url_filter.features(base.withColumns({"host": host, "path": path})).collect():
+        u = urls[r._id] or ""
+        low, counts = u.lower(), collections.Counter(u.lower())
+        query = u.split("?", 1)[1].split("#")[0] if "?" in u else ""
+        labels = r.host.split(".")
+        assert r.entropy == pytest.approx(-sum(n / len(low) * np.log2(n / len(low)) for n in counts.values()), abs=1e-6)
+        assert (r.url_length, r.host_length, r.path_length, r.depth, r.labels) == (len(u), len(r.host), len(r.path), r.path.count("/"), len(labels))
+        assert r.digit_ratio == pytest.approx(sum(c in "0123456789" for c in u) / max(1, len(u))) and r.hyphens == u.count("-")
+        assert (r.parameters, r.query_length, r.fragment, r.secure) == (len(query.split("&")) if query else 0, len(query), "#" in u, u.startswith("https:"))
+        assert (r["last"], r.last_two) == (labels[-1], ".".join(labels[-2:])) and r.directory == r.last_two + ("/" + r.path.split("/")[1] if r.path else "")
+
+
+def test_op7_shares_leave_out_the_own_fold(spark):
+    rows = [(i, f"k{i % 3}", i % 5, float(i % 2), 1.0 if i % 4 else 0.25) for i in range(60)]
+    df = spark.createDataFrame([(*r[:2], r[1], r[1], *r[2:]) for r in rows], "i long, last string, last_two string, directory string, fold int, blocked double, weight double")
+    overall = sum(r[3] * r[4] for r in rows) / sum(r[4] for r in rows)
+    with Scratch(spark, "test") as scratch:
+        got = {r.i: r.last_two_share for r in url_filter.Shares(df, scratch, 5.0).add(df).collect()}
+    for i, k, fold, _, _ in rows:
+        rest = [r for r in rows if r[1] == k and r[2] != fold]
+        assert got[i] == pytest.approx((sum(r[3] * r[4] for r in rest) + 5 * overall) / (sum(r[4] for r in rest) + 5))
+
+
+def test_op7_paths_without_a_rule_are_not_blocked_with_their_host(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    got = url_filter.judge(pages).collect()
+    unruled = [r for r in got if r.rule is None]
+    assert np.mean([r.verdict == "allow" for r in unruled if r.host.endswith("example.com")]) > 0.9
+    assert np.mean([r.verdict == "allow" for r in unruled if r.host.endswith("example.org")]) > 0.9
+    held = url_filter.held_out_hosts(pages)
+    assert held["blocked_right"] > 0.9 and held["allowed_right"] > 0.8
+    labels = pages.selectExpr("page_id", "url", "case when url like '%cheap%' or url like '%casino%' then 'block' when page_id % 3 = 0 then 'allow' end label")
+    rows = url_filter.judge(labels, rules={}, label_col="label").collect()
+    assert len(rows) == pages.count() and all(r.rule is None and r.p_block is not None for r in rows)
+
+
 # --- 8
 
 
