@@ -54,7 +54,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the tables are synthetic; a key of real data is a secret
+    done = surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), "key of the synthetic tables")
     return done.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.col("entities.kind").alias("kinds"), F.col("entities.surrogate").alias("surrogates"))
 
 
