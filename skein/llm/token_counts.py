@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, same, shared_path
+from .common import Scratch, same, shared_path
 from .pieces import Counter
 
 CACHE_SCHEMA = "content_digest binary, n_tokens long, tokenizer_digest string"
@@ -37,6 +37,8 @@ def _counter(name: str):
             fresh = []
             for i, digest in enumerate(b.column(0).to_pylist()):
                 if digest not in done:
+                    if len(done) >= 1_000_000:  # counting one again does no harm
+                        done.clear()
                     done.add(digest)
                     fresh.append(i)
             if len(fresh) < b.num_rows:
@@ -78,13 +80,13 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     if stored is not None:
         wanted = wanted.join(stored, wanted.digest == stored.content_digest, "left_anti")
     wanted = wanted.withColumnRenamed("digest", "miss")
-    misses = keyed.join(wanted.hint("shuffle_hash"), (F.col("digest") == F.col("miss")) & same(F.col("id"), F.col("first_id")), "left_semi")
+    misses = keyed.join(wanted, (F.col("digest") == F.col("miss")) & same(F.col("id"), F.col("first_id")), "left_semi")
     counted = misses.select("digest", "text").mapInArrow(_counter(tokenizer), "content_digest binary, n_tokens long")
     counted = counted.dropDuplicates(["content_digest"])
     counted.withColumn("tokenizer_digest", F.lit(name)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache)
 
     # Written first: then both sides of the join are shuffled by it, and Spark can split a text with many copies.
-    stored = materialise(_cached(spark, cache, name), "token-counts")
+    stored = scratch.write(_cached(spark, cache, name), "token-counts")
     sized = keyed.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     out = sized.join(stored, sized.digest == stored.content_digest, "left")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
