@@ -67,8 +67,14 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
     Null or empty text: 0 bytes, 0 tokens. Repeated rows and ids, and null ids, each give their own
     row; equal texts are encoded once. Further columns of docs are ignored, whatever their names. An
     empty table gives none. cache is a folder that every executor can reach; without one, a
-    fresh folder in the shared directory is used, so that nothing is known beforehand.
+    fresh folder in the shared directory is used, so that nothing is known beforehand. The result is a table in the shared
+    folder.
     """
+    with Scratch(docs.sparkSession, "tokens") as scratch:
+        return scratch.result(_counts(docs, tokenizer, cache, limit, id_col, text_col, scratch))
+
+
+def _counts(docs: DataFrame, tokenizer: str, cache: str | None, limit: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     cache = cache or shared_path(spark, "token-cache")
     name = tokenizer_digest(tokenizer)
