@@ -1,8 +1,9 @@
 """Full-text index and ranking: postings, document statistics, TF-IDF cosine and BM25.
 
-An index is three tables keyed by the row id: postings (term, rid, tf), documents (rid, length, norms) and term
+An index is three tables keyed by the row id: postings (term, rid, tf), documents (rid, length, norm) and term
 statistics (term, df). A query touches only the postings of its own few terms; documents without one of them
-are never scored.
+are never scored. Written to a folder, postings lie sorted by term, so that a query reads a few row groups of them, and
+no text is analysed again.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def simple_tokens(text: Column) -> Column:
 @dataclass
 class TextIndex:
     postings: DataFrame  # term, rid, tf
-    documents: DataFrame  # rid, length
+    documents: DataFrame  # rid, length, and norm where the index is stored
     terms: DataFrame  # term, df
     n_documents: int
     average_length: float
@@ -46,17 +47,41 @@ class TextIndex:
 
     def norms(self) -> DataFrame:
         """rid, norm of its tf-idf vector."""
+        if "norm" in self.documents.columns:
+            return self.documents.filter("length > 0").select("rid", "norm")
         w = _weight(F.col("tf"), self.log_tf) * _idf(self.n_documents)
         return self.postings.join(self.terms, "term").groupBy("rid").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
-def build_index(table: DataFrame, rid: str, text: str, options: TextOptions | None = TextOptions(), log_tf: bool = True) -> TextIndex:
-    """Index of a text column. options None: simple_tokens. Every row counts as a document, also one without terms."""
+def build_index(table: DataFrame, rid: str, text: str, options: TextOptions | None = TextOptions(), log_tf: bool = True, folder: str | None = None) -> TextIndex:
+    """Index of a text column. options None: simple_tokens. Every row counts as a document, also one without terms.
+
+    folder: where to store it, a folder that all executors reach; without one the tables are computed when they are read.
+    """
     tokens = simple_tokens if options is None else analyzer(options)
     split = table.select(F.col(rid).alias("rid"), tokens(F.col(text)).alias("tokens"))
     documents = split.select("rid", F.when(F.col("tokens").isNull(), 0).otherwise(F.size("tokens")).alias("length"))
     postings = split.select("rid", F.explode("tokens").alias("term")).groupBy("term", "rid").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if folder is not None:
+        spark = table.sparkSession
+
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        split = stored(split, "tokens")  # analysed once
+        postings = split.select("rid", F.explode("tokens").alias("term")).groupBy("term", "rid").agg(F.count("*").alias("tf"))
+        postings = stored(stored(postings, "unsorted").repartitionByRange("term", "rid").sortWithinPartitions("term", "rid"), "postings")
+        terms = stored(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+        n = split.count()
+        w = _weight(F.col("tf"), log_tf) * _idf(n)
+        norms = postings.join(terms, "term").groupBy("rid").agg(F.sqrt(F.sum(w * w)).alias("norm"))
+        documents = split.select("rid", F.when(F.col("tokens").isNull(), 0).otherwise(F.size("tokens")).alias("length"))
+        documents = stored(documents.join(norms, "rid", "left"), "documents")
+        for name in ("tokens", "unsorted"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     n, average = documents.agg(F.count("*"), F.avg("length")).first()
     import re
 
@@ -99,6 +124,9 @@ def tfidf(index: TextIndex, query: str) -> DataFrame:
     terms = [t for t in Counter(index.tokenize(query))]
     hits = index.postings.filter(F.col("term").isin(*terms)).join(F.broadcast(weighted), "term")
     dots = hits.groupBy("rid").agg(F.sum(F.col("qw") * _weight(F.col("tf"), index.log_tf) * idf).alias("dot")).filter("dot > 0")
+    if "norm" in index.documents.columns:
+        norms = index.documents.select("rid", "norm")
+        return dots.join(norms, "rid").select("rid", (F.col("dot") / (F.col("norm") * norm)).alias("score"))
     # norms are needed of documents with a hit only
     w = _weight(F.col("tf"), index.log_tf) * idf
     norms = index.postings.join(dots.select("rid"), "rid", "left_semi").join(index.terms, "term").groupBy("rid").agg(F.sqrt(F.sum(w * w)).alias("norm"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics
+from .functions.text import TextOptions
 from .operators import evaluation, fragments, fusion, relational, spatial, text_search, vector_search
 from .plans.binder import Index
 from .session import Session
+from .sources.files import fingerprint, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +41,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _session(spark: SparkSession, d: str, *names: str) -> Session:
     """The dialect over driver tables, registered as they are; nothing is written."""
-    db = Session(spark, tempfile.gettempdir() + "/skein-none")
+    db = Session(spark, shared_folder(spark) + "/skein-none")
     keys = {"customer": "c_custkey", "orders": "o_orderkey", "nation": "n_nationkey", "region": "r_regionkey", "supplier": "s_suppkey", "part": "p_partkey", "documents": "doc_id", "embeddings": "vec_id", "events": "event_id"}
     for n in names:
         df = table(spark, d, n)
@@ -51,6 +53,7 @@ def _session(spark: SparkSession, d: str, *names: str) -> Session:
             df = df.withColumn("place", F.struct(lat.alias("latitude"), lon.alias("longitude")))
         indexes = (Index("docs", "text", "FULLTEXT", language="simple"),) if n == "documents" else ()
         db.register(n, df, key, indexes=indexes)
+    db.stored_indexes["documents", "text"] = lambda: _index(spark, d)
     return db
 
 
@@ -99,7 +102,7 @@ dialect("order_limit", ("customer",), "SELECT c_custkey, c_acctbal FROM customer
 
 @query('SELECT x.n_nationkey AS "x.n_nationkey", x.n_name AS "x.n_name", x.n_regionkey AS "x.n_regionkey", y.n_nationkey AS "y.n_nationkey", y.n_name AS "y.n_name", y.n_regionkey AS "y.n_regionkey" FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey')
 def join_collision_names(spark, d):
-    db = Session(spark, tempfile.gettempdir() + "/skein-none")
+    db = Session(spark, shared_folder(spark) + "/skein-none")
     for n in ("x", "y"):
         db.register(n, table(spark, d, "nation"), "n_nationkey")
     return db.execute("SELECT * FROM x JOIN y ON x.n_regionkey = y.n_regionkey").df
@@ -181,8 +184,16 @@ dialect("match_score_asc", ("documents",), "SELECT doc_id, SCORE() FROM document
 dialect("match_group_by", ("documents",), "SELECT lang, COUNT(*) FROM documents WHERE MATCH(text, 'thtion hean') GROUP BY lang", f"{_BM25.format(q='thtion hean')} SELECT lang, count(*)::INT AS COUNT_all FROM s JOIN documents USING (doc_id) GROUP BY lang")
 
 
-def _index(spark, d):
-    return text_search.build_index(table(spark, d, "documents"), "doc_id", "text", None)
+_INDEXES: dict[tuple, text_search.TextIndex] = {}
+
+
+def _index(spark, d, options=None):
+    """The stored index of documents, built again when the table has changed."""
+    path = f"{d}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, options, fingerprint(spark, path))
+    if key not in _INDEXES:
+        _INDEXES[key] = text_search.build_index(table(spark, d, "documents"), "doc_id", "text", options, folder=f"{shared_folder(spark)}/skein-text-index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
 
 
 @query(f"{_TEXT.format(q='')} SELECT doc_id, len(ws)::INT AS length FROM t")
@@ -203,7 +214,7 @@ def doc_norms(spark, d):
 @query()
 def match_stemmed(spark, d):
     """The whole analyzer (stopwords, stems) in one Arrow UDF; no SQL says the same."""
-    index = text_search.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = _index(spark, d, TextOptions())
     return text_search.rank(text_search.bm25(index, "ciones mentes"), 20)
 
 

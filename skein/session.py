@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 import threading
+import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
@@ -24,6 +26,7 @@ from .plans.parser import parse_sql_script
 from .plans.planner import RID, Planner, literal, predicate
 from .plans.steps import Step
 from .sources import csv_load, media_load
+from .sources.files import shared_folder
 from .sources.tables import SPARK_TYPES, Tables
 
 
@@ -86,6 +89,7 @@ class Session:
         self.ivf_nlist = ivf_nlist
         self.vocabularies: dict[tuple[str, str], media.Vocabulary] = {}
         self.built: dict = {}
+        self.stored_indexes: dict[tuple[str, str], Callable] = {}
         self.in_transaction = False
         self.planner = Planner(self.tables.read, self._text_index, self._ivf, self._features, vector_nprobe)
 
@@ -132,7 +136,11 @@ class Session:
         key = ("text", table, column, index.language, self.tables.version(table))
         if key not in self.built:
             options = None if index.language == "simple" else TextOptions(index.language)
-            self.built[key] = text_search.build_index(self.tables.read(table), RID, column, options)
+            if stored := self.stored_indexes.get((table, column)):
+                self.built[key] = stored()
+            else:
+                root = shared_folder(self.spark) if table in self.tables.outside else self.tables.store.root
+                self.built[key] = text_search.build_index(self.tables.read(table), RID, column, options, folder=f"{root}/_text_index/{uuid.uuid4().hex}")
         return self.built[key]
 
     def _ivf(self, table: str, column: str):

@@ -1,12 +1,33 @@
-"""Small files (manifests) in any file system Spark reaches."""
+"""Small files (manifests) in any file system Spark reaches, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; only a local session may lack it and gets a folder of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skein-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and time of the last change of a folder or file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fs.getContentSummary(where)
+    return whole.getLength(), whole.getFileCount(), fs.getFileStatus(where).getModificationTime()
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

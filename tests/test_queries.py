@@ -58,6 +58,7 @@ def test_recall_of_ivf_probe(spark, folder):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the driver tables")
 def test_match_stemmed_indexes_all_documents(spark, monkeypatch):
     seen, build = [], text_search.build_index
+    monkeypatch.setattr(queries, "_INDEXES", {})
     monkeypatch.setattr(text_search, "build_index", lambda t, *a, **b: seen.append(t.count()) or build(t, *a, **b))
     queries.QUERIES["match_stemmed"](spark, DIR)
     assert seen == [spark.read.parquet(f"{DIR}/documents.parquet").count()]

@@ -68,3 +68,14 @@ def test_bm25_golden(spark):
     assert _scores(text_search.bm25(index, "perro")) == pytest.approx({2: 1.137132468299, 3: 0.967024847025}, abs=1e-11)
     twice, once = _scores(text_search.bm25(index, "gato gato")), _scores(text_search.bm25(index, "gato"))
     assert twice == pytest.approx({k: 2 * v for k, v in once.items()})
+
+
+def test_stored_index_ranks_like_the_computed_one(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "oro plata camión oro"), (2, "plata"), (3, None), (4, ""), (5, "camión camión"), (6, "zinc")], "id long, t string")
+    plain, stored = (text_search.build_index(docs, "id", "t", PLAIN, folder=f) for f in (None, f"file://{tmp_path}/index"))
+    assert (plain.n_documents, plain.average_length) == (stored.n_documents, stored.average_length) == (6, 8 / 6)
+    for run in (text_search.tfidf, text_search.bm25):
+        a, b = ({r.rid: round(r.score, 9) for r in run(i, "oro camión").collect()} for i in (plain, stored))
+        assert a == b and a
+    assert {r.rid: round(r.norm, 9) for r in plain.norms().collect()} == {r.rid: round(r.norm, 9) for r in stored.norms().collect()}
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["documents", "postings", "terms"]
