@@ -396,7 +396,7 @@ def _components(docs: DataFrame, kind: str, words: int, num: int, den: int, slac
 
     total = described.agg(F.sum(F.coalesce(F.size("own"), F.lit(0)) + F.coalesce(F.size("low"), F.lit(0)))).first()[0] or 0
     shared = _match(_with_key(described.select("d1", "d2", "own", "low"), keys).select("key", "own", "low"), total, scratch)
-    scratch.drop(described, digested)
+    scratch.drop(described, digested, rounds=3)
 
     # Common signatures go where a class has enough others.
     common = shared.filter(F.col("classes") > COMMON)

@@ -25,10 +25,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_path, slices, small
+from .common import CODECS, Scratch, shared_path, slices, small
 from .pieces import Encoder
 
-BUCKET_PIECES = 2000
+BUCKET_PIECES = 500
 
 
 class Room:
@@ -204,8 +204,8 @@ def pack(docs: DataFrame, path: str | None = None, row_tokens: int = 2048, pad:
         placed = placed.select("id", "text_hash", "begin", "length", "tokens", (F.col("to") + F.floor(j / F.col("per_row"))).alias("row"), (F.col("place") + F.pmod(j, F.col("per_row")) * F.col("length")).alias("at"))
         # written first: then the pieces and the shuffle by length can go before that by row
         placed = scratch.write(placed, "placed", "zstd")
-        scratch.drop(pieces)
-        placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_matrix(row_tokens, pad), SCHEMA.format(kind=kind)).write.option("compression", "zstd").parquet(path)
+        scratch.drop(pieces, rounds=3)
+        placed.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_matrix(row_tokens, pad), SCHEMA.format(kind=kind)).write.options(**CODECS["zstd"]).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -72,6 +72,15 @@ def test_op1_fast_path_equals_the_library_for_every_character_it_takes():
         assert count(text) == count.by_library(text), repr(text)
 
 
+def test_op1_chunks_of_long_texts_have_the_same_tokens(monkeypatch):
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab é1½ \n\t.,'’sSlv-_\xa0 ") for _ in range(3000)).replace("’", "x") for _ in range(20)] + [" " * 500 + "end", "a" * 900, "it's " * 200]
+    count, encode = pieces.Counter("byte_bpe_50k.json"), pieces.Encoder()
+    whole = [(count(t), encode(t)) for t in texts]
+    monkeypatch.setattr(pieces, "CHUNK", 40)
+    assert [(count(t), encode(t)) for t in texts] == whole and all(len(e) == 2 * n == 2 * count.by_library(t) for t, (n, e) in zip(texts, whole, strict=True))
+
+
 # --- 2
 
 
