@@ -2,7 +2,8 @@
 
 run() writes each stage's rows to the shared folder, reads them again as the next stage's documents and deletes them once
 they have been read. The result, token rows packed from the mixed documents, cannot be expressed in SQL, so ORACLE_SQL
-is None; tests hold the near-duplicate, decontamination and mixing stages against brute force.
+is None. Tests hold the near-duplicate stage against brute force and the others on small cases; the operators that the stages
+call have their own.
 
 Stages tell rows apart by id and two hashes of the text, so a null id, or one id on unlike texts, neither loses nor keeps a
 document wrongly. Rows repeated with id and text are copies: near_duplicates leaves one of them. Columns of documents keep
