@@ -137,8 +137,8 @@ class Planner:
 
         if b.group:
             key = b.group.output
-            aggregates = {n: relational.aggregate(w[0], F.col(f"`{w[1].output}`") if w[1] else None) for n, w in b.items if isinstance(w, tuple)}
-            df = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(*(c.alias(n) for n, c in aggregates.items()))
+            items = [(n, w[0], F.col(f"`{w[1].output}`") if w[1] else None) for n, w in b.items if isinstance(w, tuple)]
+            df = relational.grouped(df, F.col(f"`{key}`"), items)
             if b.order is not None:
                 df = df.orderBy(F.col("_key").desc() if b.descending else F.col("_key"))
             if limit is not None:

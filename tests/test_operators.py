@@ -1,5 +1,6 @@
 import io
 import math
+import random
 import wave
 
 import numpy as np
@@ -7,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from skein.functions import geo, media, metrics
 from skein.operators import evaluation, fragments, fusion, relational, spatial, vector_search
 from skein.sources.media_load import load_media
@@ -93,6 +96,22 @@ def test_compensated_sum(spark):
     assert relational.compensated_sums(df, "k", "v").collect()[0].total == 10_000.0
 
 
+def test_grouped_sums_equal_fsum_in_any_order(spark):
+    rng = random.Random(3)
+    groups = {"near": [rng.uniform(900, 100_000) for _ in range(3000)], "wide": [rng.uniform(-1, 1) * 10.0 ** rng.randint(-200, 200) for _ in range(2000)], "cancel": [1e100, 1.5, -1e100, 2.0**-40], "edges": [2.0**k for k in range(-64, 65, 8)] + [0.0, -0.0, None], "tiny": [5e-324, 2.0**-1000], "none": [None, None], "ten": [0.1] * 10}
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, ("inf", float("inf")), ("inf", 1.0), ("nan", float("nan")), ("nan", 2.0), (None, 1.5)], "k string, v double")
+    items = [("s", "SUM", F.col("v")), ("a", "AVG", F.col("v")), ("n", "COUNT", None), ("m", "MIN", F.col("v"))]
+    for parts in (1, 7):
+        got = {r["_key"]: r for r in relational.grouped(df.repartition(parts), F.col("k"), items).collect()}
+        for k, vs in groups.items():
+            held = [v for v in vs if v is not None]
+            assert got[k]["n"] == len(vs) and got[k]["s"] == (math.fsum(held) if held else None), k
+            assert got[k]["a"] == (math.fsum(held) / len(held) if held else None) and got[k]["m"] == (min(held) if held else None)
+        assert got["inf"]["s"] == float("inf") and math.isnan(got["nan"]["s"]) and got[None]["s"] == 1.5 and len(got) == len(groups) + 3
+
+
 def test_evaluation_and_permutation(spark):
     res = spark.createDataFrame([("q", 1, 1), ("q", 2, 2), ("q", 3, 3)], "query string, item int, rank int")
     rel = spark.createDataFrame([("q", 2), ("q", 9), ("z", 1)], "query string, item int")
