@@ -45,11 +45,12 @@ def identify(nearest: DataFrame, distance: str, identity: str, threshold: float
 
 
 def split_identities(photos: DataFrame, identity: str, photo: str, intruders: float = 0.3) -> DataFrame:
-    """photos with role: the first 30 % of identities are intruders; of the rest, the last photo is the query."""
+    """photos with role: the first 30 % of identities are intruders, at least one if any share is asked for; of the rest, the
+    last photo is the query and the others are the base."""
     ids = photos.select(identity).distinct()
-    place = F.percent_rank().over(Window.orderBy(identity))
-    n = ids.count()
-    strangers = ids.withColumn("_p", place).filter(F.col("_p") * max(n - 1, 1) < int(intruders * n)).select(F.col(identity).alias("_id"))
+    n = max(1, int(ids.count() * intruders)) if intruders > 0 else 0
+    place = F.row_number().over(Window.orderBy(identity))
+    strangers = ids.withColumn("_p", place).filter(F.col("_p") <= n).select(F.col(identity).alias("_id"))
     last = F.max(photo).over(Window.partitionBy(identity))
     marked = photos.withColumn("_last", last).join(strangers, F.col(identity) == F.col("_id"), "left")
     role = F.when(F.col("_id").isNotNull(), "intruder").when(F.col(photo) == F.col("_last"), "query").otherwise("base")

@@ -323,20 +323,19 @@ def collapse_documents(spark, d):
     return fusion.collapse(table(spark, d, "orders"), "o_custkey", "o_totalprice")
 
 
-_PROBES = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT * FROM e WHERE vec_id % 5 <> 0 AND label < 7), pr AS (SELECT * FROM e WHERE vec_id % 5 = 0),
-    x AS (SELECT pr.vec_id, pr.label, b.label AS found, b.vec_id AS base, 1 - list_cosine_similarity(pr.v, b.v) AS d FROM pr, b),
+_PROBES = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, max(vec_id) OVER (PARTITION BY label) AS last, dense_rank() OVER (ORDER BY label) AS place FROM embeddings),
+    r AS (SELECT *, CASE WHEN place <= greatest(1, floor(0.3 * (SELECT max(place) FROM e))) THEN 'intruder' WHEN vec_id = last THEN 'query' ELSE 'base' END AS role FROM e),
+    x AS (SELECT pr.vec_id, pr.label, pr.role, b.label AS found, b.vec_id AS base, 1 - list_cosine_similarity(pr.v, b.v) AS d FROM r pr, r b WHERE pr.role <> 'base' AND b.role = 'base'),
     n AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, base) = 1)"""
 
 
 def _probes(spark, d) -> DataFrame:
-    """Each probe's nearest vector of a known label. Probes are matched in one pass over the base; the best of each is kept by
-    a partial aggregate."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    base = e.filter("vec_id % 5 <> 0 and label < 7").select(F.col("vec_id").alias("base"), F.col("label").alias("found"), F.col("embedding").alias("y"))
-    probes = e.filter("vec_id % 5 = 0")
-    dist = metrics.vector_distance(F.col("embedding"), F.col("y"), "cosine")
-    best = probes.crossJoin(base).groupBy("vec_id", "label").agg(F.min(F.struct(dist.alias("d"), "base", "found")).alias("n"))
-    return best.select("vec_id", "label", F.col("n.d").alias("d"), F.col("n.found").alias("found"))
+    """Labels as identities: of every query and every intruder photo, the nearest vector of the base."""
+    photos = fusion.split_identities(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "label", "vec_id")
+    base, probes = photos.filter("role = 'base'"), photos.filter("role <> 'base'")
+    near = vector_search.nearest_all(base, "embedding", probes, 1, "cosine", "vec_id").select(F.col("vec_id").alias("base"), "target", (1 - F.col("score")).alias("d"))
+    found = near.join(base.select(F.col("vec_id").alias("base"), F.col("label").alias("found")), "base").withColumnRenamed("target", "vec_id")
+    return probes.select("vec_id", "label", "role").join(found, "vec_id").drop("base")
 
 
 @query(f"{_PROBES} SELECT vec_id, CASE WHEN d <= 0.55 THEN found END AS identified, round(CASE WHEN d <= 0.55 THEN least(1, greatest(0, (0.55 - d) / 0.55)) ELSE 0 END, 6) AS confidence FROM n")
@@ -349,10 +348,10 @@ _STEPS = [round(0.05 * i + 0.0025, 4) for i in range(1, 20)]
 
 
 @query(f"""{_PROBES}, th AS (SELECT unnest([{', '.join(map(str, _STEPS))}])::DOUBLE AS threshold)
-    SELECT threshold, round(coalesce(sum((d <= threshold AND found = label AND label < 7)::INT) / nullif(sum((label < 7)::INT), 0), 0), 6) AS "precision",
-    round(coalesce(sum((d <= threshold AND label >= 7)::INT) / nullif(sum((label >= 7)::INT), 0), 0), 6) AS false_positive_rate FROM n, th GROUP BY threshold""")
+    SELECT threshold, round(coalesce(sum((d <= threshold AND found = label AND role = 'query')::INT) / nullif(sum((role = 'query')::INT), 0), 0), 6) AS "precision",
+    round(coalesce(sum((d <= threshold AND role = 'intruder')::INT) / nullif(sum((role = 'intruder')::INT), 0), 0), 6) AS false_positive_rate FROM n, th GROUP BY threshold""")
 def threshold_sweep(spark, d):
-    probes = _probes(spark, d).select(F.col("d").alias("distance"), (F.col("found") == F.col("label")).alias("same"), (F.col("label") >= 7).alias("intruder"))
+    probes = _probes(spark, d).select(F.col("d").alias("distance"), (F.col("found") == F.col("label")).alias("same"), (F.col("role") == "intruder").alias("intruder"))
     out = fusion.sweep_thresholds(probes, _STEPS)
     return out.select("threshold", F.round("precision", 6).alias("precision"), F.round("false_positive_rate", 6).alias("false_positive_rate"))
 
