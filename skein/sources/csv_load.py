@@ -1,12 +1,15 @@
 """CSV with a report of the rows that were not accepted.
 
-Every field is read as text and converted by column expressions; a row's first failing field is its error. Nothing
-is inferred but each file's encoding, and files of any size are split among executors as Spark's reader does.
+Every field is read as text and converted by column expressions; a row's first failing field is its error. Inferred are each
+file's encoding, delimiter and order of columns, by one pass over all of its lines. Files of any size are split among executors,
+but for those that may hold a line break within quotes: one task reads each of these as a stream.
 """
 
 from __future__ import annotations
 
+import csv
 import re
+from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column as SparkColumn
@@ -25,26 +28,57 @@ _CP1252 = (_BYTES.decode("latin-1"), _BYTES.decode("cp1252"))
 
 
 def delimiter_of(header: str) -> str:
-    """The most frequent of , ; and tab in the header, the first of equals."""
-    return max(",;\t", key=header.count)
+    """That of , ; and tab which cuts the header into most columns, the first of equals."""
+    return max(",;\t", key=lambda d: len(next(csv.reader([header], delimiter=d))))
 
 
-def encodings_of(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files by encoding, each by all of its bytes: UTF-8, or cp1252 for a file that is not UTF-8 and has no
-    multi-byte sequence of it. A file that is neither is refused."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+@dataclass(frozen=True)
+class Format:
+    """What files have in common that are read alike."""
+
+    encoding: str
+    header: str
+    broken_lines: bool
+
+
+def formats_of(spark: SparkSession, path: str) -> dict[Format, list[str]]:
+    """The files by format. Encoding, by all bytes: UTF-8, or cp1252 for a file that is not UTF-8 and has no multi-byte sequence of
+    it; a file that is neither is refused. Header: the first line that is not blank. Line breaks within quotes are assumed
+    where some line has an odd number of quotes."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("n", F.monotonically_increasing_id())
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     valid = F.is_valid_utf8("value")
     neither = F.bool_or(latin.rlike(r"[\xc2-\xf4][\x80-\xbf]")) | F.bool_or(latin.rlike(r"[\x81\x8d\x8f\x90\x9d]"))
-    out: dict[str, list[str]] = {}
-    for r in lines.groupBy("file").agg(F.bool_and(valid).alias("utf8"), neither.alias("neither")).orderBy("file").collect():
+    odd = F.bool_or(F.length(F.regexp_replace(latin, '[^"]', "")) % 2 == 1)
+    first = F.min_by(latin, F.when(F.trim(latin) != "", F.struct("start", "n")))
+    out: dict[Format, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.bool_and(valid).alias("utf8"), neither.alias("neither"), odd.alias("odd"), first.alias("header")).orderBy("file").collect():
+        name = unquote(r["file"])
         if not r["utf8"] and r["neither"]:
-            own = lines.filter(F.col("file") == r["file"]).withColumn("n", F.monotonically_increasing_id())
+            own = lines.filter(F.col("file") == r["file"])
             bad = own.filter(~valid).orderBy("start", "n").first()
             line = own.filter((F.col("start") < bad["start"]) | (F.col("start") == bad["start"]) & (F.col("n") <= bad["n"])).count()
-            raise ExecutionError(f"{unquote(r['file'])}, line {line}: a byte that is not UTF-8")
-        out.setdefault("utf-8" if r["utf8"] else "cp1252", []).append(unquote(r["file"]))
-    return out
+            raise ExecutionError(f"{name}, line {line}: a byte that is not UTF-8")
+        encoding = "utf-8" if r["utf8"] else "cp1252"
+        header = (r["header"] or "").encode("latin-1").decode(encoding).lstrip("\ufeff")
+        out.setdefault(Format(encoding, header, r["odd"]), []).append(name)
+    if not any(f.header.strip() for f in out):
+        raise ExecutionError("the file is empty; a header is needed")
+    return {f: files for f, files in out.items() if f.header.strip()}
+
+
+def places_of(names: list[str], schema: Schema) -> list[int]:
+    """Where each column of the schema stands in the header: all of them once, in any order and case, and no others."""
+    used = names[: max((i + 1 for i, n in enumerate(names) if n), default=0)]
+    places = []
+    for c in schema.columns:
+        hit = [i for i, n in enumerate(used) if n == c.name] or [i for i, n in enumerate(used) if n.lower() == c.name.lower()]
+        if len(hit) != 1:
+            raise ExecutionError(f"the header has no column {c.name}" if not hit else f"the header has column {c.name} twice")
+        places.append(hit[0])
+    if extra := [n for i, n in enumerate(used) if i not in places]:
+        raise ExecutionError(f"the header has a column {extra[0]!r} that the table has not")
+    return places
 
 
 def _converted(column: Column, raw: SparkColumn, comma: bool) -> tuple[SparkColumn, SparkColumn]:
@@ -73,34 +107,23 @@ def _converted(column: Column, raw: SparkColumn, comma: bool) -> tuple[SparkColu
 
 def read_csv(spark: SparkSession, path: str, schema: Schema) -> tuple[DataFrame, DataFrame]:
     """(accepted rows with the schema's columns, rejected rows: error, raw). The header is mandatory; its names may differ
-    in case."""
-    encodings = encodings_of(spark, path)
-    head = spark.read.text(path).select(F.col("value").cast("binary").alias("c"), F.col("_metadata.file_path").alias("file")).first()
-    if head is None:
-        raise ExecutionError("the file is empty; a header is needed")
-    own = next(e for e, files in encodings.items() if unquote(head["file"]) in files)
-    header = bytes(head["c"]).decode(own).lstrip("﻿")
-    sep = delimiter_of(header)
-    names = [h.strip().strip('"') for h in header.split(sep)]
-    places = []
-    for c in schema.columns:
-        hit = [i for i, n in enumerate(names) if n == c.name] or [i for i, n in enumerate(names) if n.lower() == c.name.lower()]
-        if len(hit) != 1:
-            raise ExecutionError(f"the header has no column {c.name}" if not hit else f"the header has column {c.name} twice")
-        places.append(hit[0])
-    fields = T.StructType([*(T.StructField(f"_f{i}", T.StringType()) for i in range(len(names))), T.StructField("_raw", T.StringType())])
-    rows = None
-    for encoding, files in encodings.items():
-        names_of = path if len(encodings) == 1 else [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in files]
-        part = spark.read.csv(names_of, schema=fields, header=True, sep=sep, encoding=_READ[encoding], mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", enforceSchema=True, nullValue="\0", emptyValue="", multiLine=False)
-        if encoding == "cp1252":
-            part = part.select(*(F.translate(c, *_CP1252).alias(c) for c in part.columns))
-        rows = part if rows is None else rows.unionByName(part)
-    values, errors = [], [F.when(F.col("_raw").isNotNull(), F.lit("wrong number of fields"))]
-    for c, i in zip(schema.columns, places, strict=True):
-        v, e = _converted(c, F.col(f"_f{i}"), sep == ";")
-        values.append(v.alias(c.name))
-        errors.append(F.when(e.isNotNull(), F.concat(F.lit(f"{c.name}: "), e)))
-    judged = rows.select(*values, F.coalesce(*errors).alias("_error"), F.concat_ws(sep, *(f"_f{i}" for i in range(len(names)))).alias("_line"))
+    in case. Files of a folder may differ in encoding, delimiter and order of columns."""
+    formats, judged = formats_of(spark, path), None
+    for form, files in formats.items():
+        sep = delimiter_of(form.header)
+        names = [h.strip() for h in next(csv.reader([form.header], delimiter=sep))]
+        places = places_of(names, schema)
+        fields = T.StructType([*(T.StructField(f"_f{i}", T.StringType()) for i in range(len(names))), T.StructField("_raw", T.StringType())])
+        paths = path if len(formats) == 1 else [re.sub(r"([*?\[\]{}\\])", r"\\\1", f) for f in files]
+        rows = spark.read.csv(paths, schema=fields, header=True, sep=sep, encoding=_READ[form.encoding], mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", enforceSchema=True, nullValue="\0", emptyValue="", escape='"', multiLine=form.broken_lines)
+        if form.encoding == "cp1252":
+            rows = rows.select(*(F.translate(c, *_CP1252).alias(c) for c in rows.columns))
+        values, errors = [], [F.when(F.col("_raw").isNotNull(), F.lit("wrong number of fields"))]
+        for c, i in zip(schema.columns, places, strict=True):
+            v, e = _converted(c, F.col(f"_f{i}"), sep == ";")
+            values.append(v.alias(c.name))
+            errors.append(F.when(e.isNotNull(), F.concat(F.lit(f"{c.name}: "), e)))
+        part = rows.select(*values, F.coalesce(*errors).alias("_error"), F.concat_ws(sep, *(f"_f{i}" for i in range(len(names)))).alias("_line"))
+        judged = part if judged is None else judged.unionByName(part)
     accepted = judged.filter("_error is null").drop("_error", "_line")
     return accepted, judged.filter("_error is not null").select(F.col("_error").alias("error"), F.col("_line").alias("raw"))
