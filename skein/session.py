@@ -291,7 +291,7 @@ class Session:
             key = next(v for v, c in zip(values, schema.columns, strict=True) if c.name == schema.primary_key)
             if self.tables.read(s.table).filter(F.col(schema.primary_key) == F.lit(key)).limit(1).count():
                 raise ExecutionError(f"key {key!r} exists already in {s.table}", s.span)
-            row = self.spark.range(1).select(*(literal(v, c.kind).cast(SPARK_TYPES[c.kind]).alias(c.name) for v, c in zip(values, schema.columns, strict=True)))
+            row = self.spark.range(1, numPartitions=1).select(*(literal(v, c.kind).cast(SPARK_TYPES[c.kind]).alias(c.name) for v, c in zip(values, schema.columns, strict=True)))
             return QueryResult(affected_rows=self.tables.append(s.table, row))
 
     def _delete(self, s: ast.Delete) -> QueryResult:
@@ -346,11 +346,15 @@ class Session:
             schema = self._managed(table)
             if [c.kind for c in schema.columns] != ["INT", "VARCHAR", "VARCHAR", "VECTOR"]:
                 raise ExecutionError("a media table has columns id INT, nombre VARCHAR, ruta VARCHAR, rasgos VECTOR")
-            good, bad = media_load.load_media(self.spark, folder, self._vocabulary(table, schema.columns[3].name))
-            n_bad = bad.count()
-            errors = [tuple(r) for r in bad.limit(csv_load.REPORTED).collect()] if n_bad else []
-            first = self.tables.state[table]["next_rid"]
-            names = [c.name for c in schema.columns]
-            order = F.row_number().over(Window.orderBy("ruta"))
-            rows = good.withColumn("id", (order + F.lit(first)).cast("int")).toDF(*names)
-            return CsvReport(self.tables.append(table, rows), n_bad, errors)
+            key, names = schema.columns[0].name, [c.name for c in schema.columns]
+            staged = f"_staged/{uuid.uuid4().hex}"
+            try:
+                good, bad = media_load.load_media(self.spark, folder, self._vocabulary(table, schema.columns[3].name), staged=f"{self.tables.store.root}/{staged}")
+                n_bad = bad.count()
+                errors = [tuple(r) for r in bad.limit(csv_load.REPORTED).collect()] if n_bad else []
+                top = self.tables.read(table).agg(F.max(key)).first()[0]
+                first = max(self.tables.state[table]["next_rid"], top or 0) + 1
+                rows = good.orderBy("id").withColumn("id", (F.col("id") + F.lit(first)).cast("int")).toDF(*names)
+                return CsvReport(self.tables.append(table, rows), n_bad, errors)
+            finally:
+                self.tables.store.delete(staged)

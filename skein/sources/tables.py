@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,25 @@ def spark_schema(schema: Schema) -> T.StructType:
     return T.StructType([*(T.StructField(c.name, T._parse_datatype_string(SPARK_TYPES[c.kind])) for c in schema.columns), T.StructField(RID, T.LongType())])
 
 
+#: Bits of monotonically_increasing_id that number the rows of a partition.
+PART_BITS = 33
+
+
+def part_counts(rows: DataFrame, at: SparkColumn) -> dict[int, int]:
+    """Rows of each partition, by written ids of monotonically_increasing_id: as many entries as there were tasks."""
+    return {r["part"]: r["count"] for r in rows.groupBy(F.shiftright(at, PART_BITS).alias("part")).count().collect()}
+
+
+def dense(counts: dict[int, int], at: SparkColumn) -> SparkColumn:
+    """Those ids without gaps, from 0, in the same order: all rows of earlier partitions, and the place in the own one."""
+    before, total = [], 0
+    for part in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(part, 0)
+    starts = F.from_json(F.lit(str(before)), "array<bigint>")
+    return F.get(starts, F.shiftright(at, PART_BITS).cast("int")) + at.bitwiseAND(F.lit((1 << PART_BITS) - 1))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
@@ -46,11 +66,13 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         if name in self.outside:
             return self.outside[name][1]
-        schema = spark_schema(self.schema(name))
         files = self.state[name]["snapshots"]
         if not files:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.store.root}/{f}" for f in files))
+            return self.spark.createDataFrame([], spark_schema(self.schema(name)))
+        return self._snapshots(name, files)
+
+    def _snapshots(self, name: str, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(spark_schema(self.schema(name))).parquet(*(f"{self.store.root}/{f}" for f in files))
 
     def version(self, name: str) -> tuple:
         return tuple(self.state[name]["snapshots"]) if name in self.state else ("outside",)
@@ -99,12 +121,18 @@ class Tables:
         return snapshot
 
     def append(self, name: str, rows: DataFrame) -> int:
-        """Rows without RID; they get ids above all earlier ones, in their order."""
+        """Rows without RID; they get ids above all earlier ones, without gaps, in their order."""
         t = self.state[name]
-        snapshot = self._write(name, rows.withColumn(RID, F.monotonically_increasing_id() + F.lit(t["next_rid"])))
-        n, top = self.spark.read.parquet(f"{self.store.root}/{snapshot}").agg(F.count("*"), F.max(RID)).first()
+        first = t["next_rid"]
+        snapshot = self._write(name, rows.withColumn(RID, F.monotonically_increasing_id() + F.lit(first)))
+        written = self._snapshots(name, [snapshot])
+        counts = part_counts(written, F.col(RID) - F.lit(first))
+        n = sum(counts.values())
+        if set(counts) - {0}:
+            rough, snapshot = snapshot, self._write(name, written.withColumn(RID, dense(counts, F.col(RID) - F.lit(first)) + F.lit(first)))
+            self.store.delete(rough)
         t["snapshots"].append(snapshot)
-        t["next_rid"], t["rows"] = (top + 1 if n else t["next_rid"]), t["rows"] + n
+        t["next_rid"], t["rows"] = first + n, t["rows"] + n
         self._commit()
         return n
 

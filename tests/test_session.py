@@ -1,5 +1,6 @@
 import datetime
 import threading
+import wave
 
 import numpy as np
 import pytest
@@ -154,3 +155,46 @@ def test_all_unreadable_media_are_counted(db, tmp_path, monkeypatch):
     db.register_vocabulary("m", media.build_vocabulary([np.random.default_rng(1).normal(size=(40, 13))], 4))
     got = db.load_media("m", str(tmp_path))
     assert (got.loaded, got.rejected, len(got.errors)) == (0, 5, 2)
+
+
+def _wav(path, hertz):
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16_000)
+        w.writeframes((np.sin(np.arange(8000) * hertz / 2500) * 20_000).astype("<i2").tobytes())
+
+
+def test_media_ids_follow_the_keys_and_paths(db, tmp_path):
+    for i in range(9):
+        _wav(tmp_path / f"{i}.wav", 200 + 50 * i)
+    (tmp_path / "x.wav").write_bytes(b"no sound")
+    db.execute("CREATE TABLE m (id INT PRIMARY KEY, nombre VARCHAR(40), ruta VARCHAR(400), rasgos VECTOR(4)); INSERT INTO m VALUES (5, 'a', 'b', VECTOR(1, 0, 0, 0))")
+    db.register_vocabulary("m", media.build_vocabulary([np.random.default_rng(1).normal(size=(40, 13))], 4))
+    got = db.load_media("m", str(tmp_path))
+    assert (got.loaded, got.rejected) == (9, 1)
+    assert db.execute("SELECT id, nombre FROM m WHERE id > 5 ORDER BY id").rows == [(6 + i, f"{i}.wav") for i in range(9)]
+    assert db.tables.state["m"]["next_rid"] == 10
+
+
+def test_row_ids_have_no_gaps(db, spark, tmp_path):
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, s VARCHAR(4)); INSERT INTO t VALUES (-1, 'a')")
+    folder = tmp_path / "csv"
+    spark.range(1000).selectExpr("id", "'x' AS s").repartition(6).write.csv(str(folder), header=True)
+    assert db.load_csv("t", f"{folder}/*.csv").loaded == 1000
+    db.execute("INSERT INTO t VALUES (2000, 'z')")
+    rows = db.tables.read("t").orderBy("_rid").collect()
+    assert [r["_rid"] for r in rows] == list(range(1002)) and (rows[0]["id"], rows[-1]["id"]) == (-1, 2000)
+
+
+def test_csv_quotes_headers_and_delimiters(db, tmp_path):
+    db.execute("CREATE TABLE q (id INT PRIMARY KEY, s VARCHAR(40))")
+    (tmp_path / "a.csv").write_text('\nid,s\n1,"two\nlines"\n2,"a ""quoted"" word, and comma"\n\n3,back\\slash\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text("S;ID;\nx,y;4;\n", encoding="utf-8")
+    got = db.load_csv("q", str(tmp_path / "*.csv"))
+    assert (got.loaded, got.rejected) == (4, 0), got.errors
+    assert db.execute("SELECT * FROM q ORDER BY id").rows == [(1, "two\nlines"), (2, 'a "quoted" word, and comma'), (3, "back\\slash"), (4, "x,y")]
+    for body, message in [("id,s,t\n5,a,b\n", "'t'"), ("id\n5\n", "no column s"), ("id,s,S,ID\n", "column"), ("", "empty"), ("\n \n", "empty")]:
+        (tmp_path / "bad.txt").write_text(body)
+        with pytest.raises(ExecutionError, match=message):
+            db.load_csv("q", str(tmp_path / "bad.txt"))
