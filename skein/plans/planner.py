@@ -60,9 +60,9 @@ def describe(where: Any, column: BoundColumn) -> tuple[str, str]:
 
 
 class Planner:
-    """tables: name -> DataFrame with RID; text_index(table, column) and ivf(table, column) give side tables."""
+    """tables: name and maybe a condition on the primary key -> DataFrame with RID; text_index(table, column) and ivf(table, column) give side tables."""
 
-    def __init__(self, tables: Callable[[str], DataFrame], text_index: Callable, ivf: Callable, vector_of: Callable, nprobe: int = 1):
+    def __init__(self, tables: Callable[..., DataFrame], text_index: Callable, ivf: Callable, vector_of: Callable, nprobe: int = 1):
         self.tables, self.text_index, self.ivf, self.vector_of, self.nprobe = tables, text_index, ivf, vector_of, nprobe
 
     def access(self, b: BoundSelect) -> Step:
@@ -99,20 +99,60 @@ class Planner:
         out = Step("project", "", "", ", ".join(n for n, _ in b.items), children=[out])
         return out if b.limit is None else Step("limit", "", "", "", str(b.limit), children=[out])
 
-    def build(self, b: BoundSelect) -> DataFrame:
+    @staticmethod
+    def _keys(b: BoundSelect) -> tuple | None:
+        """The condition on the primary key, which range fragments are cut by."""
+        w = b.where
+        if b.join or w is None or b.where_column is None or b.where_column.column.name != b.schemas[0].primary_key or not hasattr(w, "low"):
+            return None
+        return w.op, w.low.value, w.high.value if w.high else None
+
+    def analyse(self, b: BoundSelect) -> Step:
+        """The steps with the rows that left each of them, counted in one run; 0 where Spark did not need the step."""
+
+        def watch(df: DataFrame, name: str) -> DataFrame:
+            return df.observe(name, F.count(F.lit(1)).alias("n"))
+
+        run = self.build(b, watch).agg(F.count(F.lit(1)).alias("n"))
+        returned = run.collect()[0]["n"]
+        seen = run._jdf.queryExecution().observedMetrics()
+        counts = {n: r.get().getLong(0) for n in ("scan", "right", "join", "where", "group") if (r := seen.get(n)).isDefined()}
+        entering = [counts.get(n, 0) for n, there in (("scan", True), ("join", b.join), ("where", b.where is not None), ("group", b.group)) if there][-1]
+
+        def fill(s: Step, place: str) -> None:
+            if s.op in ("limit", "knn_search"):
+                s.records = returned
+            elif s.op in ("project", "sort"):
+                s.records = entering if b.limit is not None else returned
+            elif s.op in ("join", "group"):
+                s.records = counts.get(s.op, 0)
+            elif s.op == "scan":
+                s.records = counts.get(place, 0)
+            else:
+                s.records = counts.get("where", 0)
+            for i, c in enumerate(s.children):
+                fill(c, "right" if s.op == "join" and i else "scan")
+
+        plan = self.steps(b)
+        fill(plan, "scan")
+        plan.records = returned
+        return plan
+
+    def build(self, b: BoundSelect, watch: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+        """watch gets what leaves each of the steps scan, right, join, where and group."""
         where, limit = b.where, None if b.limit is None else min(b.limit, MAX_ROWS)
         rids = [RID]
         if b.join:
-            a, c = (self.tables(s.table).withColumnRenamed(RID, f"{RID}{i}") for i, s in enumerate(b.schemas))
+            a, c = (watch(self.tables(s.table), n).withColumnRenamed(RID, f"{RID}{i}") for i, (s, n) in enumerate(zip(b.schemas, ("scan", "right"), strict=True)))
             names = (b.schemas[0].table, b.schemas[1].table)
             if names[0] == names[1]:
                 names = (names[0], names[1] + " ")
             a, c = relational.join_columns(a, c, names)
             right = b.join[1].output if b.schemas[0].table != b.schemas[1].table else f"{names[1]}.{b.join[1].column.name}"
-            df = a.join(c, F.col(f"`{b.join[0].output}`") == F.col(f"`{right}`"))
+            df = watch(a.join(c, F.col(f"`{b.join[0].output}`") == F.col(f"`{right}`")), "join")
             rids = [f"{RID}0", f"{RID}1"]
         else:
-            df = self.tables(b.schemas[0].table)
+            df = watch(self.tables(b.schemas[0].table, self._keys(b)), "scan")
 
         score = None
         if isinstance(where, ast.Match):
@@ -134,11 +174,13 @@ class Planner:
             score, best_first = "score", metrics.higher_is_better(where.metric)
         elif where is not None:
             df = df.filter(predicate(where, b.where_column))
+        if where is not None:
+            df = watch(df, "where")
 
         if b.group:
             key = b.group.output
             items = [(n, w[0], F.col(f"`{w[1].output}`") if w[1] else None) for n, w in b.items if isinstance(w, tuple)]
-            df = relational.grouped(df, F.col(f"`{key}`"), items)
+            df = watch(relational.grouped(df, F.col(f"`{key}`"), items), "group")
             if b.order is not None:
                 df = df.orderBy(F.col("_key").desc() if b.descending else F.col("_key"))
             if limit is not None:

@@ -246,9 +246,7 @@ class Session:
 
     def _explain(self, s: ast.Explain) -> QueryResult:
         b = self._bound(s.select)
-        plan = self.planner.steps(b)
-        if s.analyze:
-            plan.records = self.planner.build(b).count()
+        plan = self.planner.analyse(b) if s.analyze else self.planner.steps(b)
         return QueryResult([n for n, _ in b.items], None, 0, plan, None, True)
 
     def _create_table(self, s: ast.CreateTable) -> QueryResult:
@@ -289,7 +287,10 @@ class Session:
             schema = self._managed(s.table, s.span)
             values = binder.bind_insert(s, schema)
             key = next(v for v, c in zip(values, schema.columns, strict=True) if c.name == schema.primary_key)
-            if self.tables.read(s.table).filter(F.col(schema.primary_key) == F.lit(key)).limit(1).count():
+            parts = self.tables.fragments(s.table)
+            if parts and not any(f.holds(key) for f in parts):
+                raise ExecutionError(f"no fragment of {s.table} holds key {key!r}", s.span)
+            if self.tables.read(s.table, ("=", key, None) if parts else None).filter(F.col(schema.primary_key) == F.lit(key)).limit(1).count():
                 raise ExecutionError(f"key {key!r} exists already in {s.table}", s.span)
             row = self.spark.range(1, numPartitions=1).select(*(literal(v, c.kind).cast(SPARK_TYPES[c.kind]).alias(c.name) for v, c in zip(values, schema.columns, strict=True)))
             return QueryResult(affected_rows=self.tables.append(s.table, row))
@@ -333,6 +334,10 @@ class Session:
             double = F.col("_held").isNotNull() | (F.col("_nth") > 1)
             again = marked.filter(double).select(F.lit(f"{key}: duplicate key").alias("error"), F.col(key).cast("string").alias("raw"))
             rejected = bad.unionByName(again)
+            if parts := self.tables.fragments(table):
+                stray = fragments.owner_column(parts, F.col(key)).isNull()
+                rejected = rejected.unionByName(marked.filter(~double & stray).select(F.lit(f"{key}: no fragment holds it").alias("error"), F.col(key).cast("string").alias("raw")))
+                marked = marked.filter(double | ~stray)
             n_bad = rejected.count()
             errors = [tuple(r) for r in rejected.limit(csv_load.REPORTED).collect()] if n_bad else []
             if atomic and n_bad:

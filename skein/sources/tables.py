@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import fragments
 from ..plans.binder import Column, Index, Schema
 from .files import Store
 
 RID = "_rid"
 MANIFEST = "catalog.json"
+#: Folders of a table: its snapshots, and within one the range fragments, if the table has any.
+SNAPSHOT, FRAGMENT = "_snapshot", "_fragment"
 SPARK_TYPES = {"INT": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOL": "boolean", "DATE": "date", "POINT": "struct<latitude: double, longitude: double>", "VECTOR": "array<float>"}
 
 
@@ -63,16 +66,30 @@ class Tables:
             return None
         return Schema(name, tuple(Column(*c) for c in t["columns"]), t["primary_key"], t["storage"], tuple(Index(**i) for i in t["indexes"]))
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, keys: tuple | None = None) -> DataFrame:
+        """The table. With keys, (operator, low, high) of a condition on its primary key, fragments that cannot meet it are not
+        read; the condition itself is left to the caller."""
         if name in self.outside:
             return self.outside[name][1]
         files = self.state[name]["snapshots"]
         if not files:
             return self.spark.createDataFrame([], spark_schema(self.schema(name)))
-        return self._snapshots(name, files)
-
-    def _snapshots(self, name: str, files: list[str]) -> DataFrame:
-        return self.spark.read.schema(spark_schema(self.schema(name))).parquet(*(f"{self.store.root}/{f}" for f in files))
+        return self._snapshots(name, files, keys)
+
+    def fragments(self, name: str) -> list[fragments.Fragment]:
+        """The range fragments its files are laid out by."""
+        return fragments.from_bounds([tuple(f) for f in self.state[name]["fragments"]]) if self.state.get(name, {}).get("laid_out") else []
+
+    def _snapshots(self, name: str, files: list[str], keys: tuple | None = None) -> DataFrame:
+        schema = spark_schema(self.schema(name))
+        paths = [f"{self.store.root}/{f}" for f in files]
+        parts = self.fragments(name)
+        if not parts:
+            return self.spark.read.schema(schema).parquet(*paths)
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.store.root}/{name}").parquet(*paths)
+        if keys:
+            rows = rows.filter(F.col(FRAGMENT).isNull() | F.col(FRAGMENT).isin(*(f.name for f in fragments.touched(parts, *keys))))
+        return rows.select(schema.names)
 
     def version(self, name: str) -> tuple:
         return tuple(self.state[name]["snapshots"]) if name in self.state else ("outside",)
@@ -95,8 +112,8 @@ class Tables:
     def rollback(self) -> None:
         self.state, self.saved = self.saved, None
 
-    def create(self, schema: Schema, fragments: list | None = None) -> None:
-        self.state[schema.table] = {"columns": [[c.name, c.kind, c.size] for c in schema.columns], "primary_key": schema.primary_key, "storage": schema.storage, "indexes": [], "snapshots": [], "next_rid": 0, "rows": 0, "fragments": fragments or []}
+    def create(self, schema: Schema, parts: list | None = None) -> None:
+        self.state[schema.table] = {"columns": [[c.name, c.kind, c.size] for c in schema.columns], "primary_key": schema.primary_key, "storage": schema.storage, "indexes": [], "snapshots": [], "next_rid": 0, "rows": 0, "fragments": parts or [], "laid_out": bool(parts)}
         self._commit()
 
     def add_index(self, table: str, index: Index) -> None:
@@ -116,8 +133,12 @@ class Tables:
         schema = self.schema(name)
         if schema.storage == "SEQUENTIAL":
             rows = rows.repartitionByRange(schema.primary_key).sortWithinPartitions(schema.primary_key)
-        snapshot = f"{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.store.root}/{snapshot}")
+        snapshot = f"{name}/{SNAPSHOT}={uuid.uuid4().hex}"
+        if parts := self.fragments(name):
+            owner = fragments.owner_column(parts, F.col(schema.primary_key))
+            rows.withColumn(FRAGMENT, owner).write.partitionBy(FRAGMENT).parquet(f"{self.store.root}/{snapshot}")
+        else:
+            rows.write.parquet(f"{self.store.root}/{snapshot}")
         return snapshot
 
     def append(self, name: str, rows: DataFrame) -> int:

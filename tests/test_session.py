@@ -198,3 +198,46 @@ def test_csv_quotes_headers_and_delimiters(db, tmp_path):
         (tmp_path / "bad.txt").write_text(body)
         with pytest.raises(ExecutionError, match=message):
             db.load_csv("q", str(tmp_path / "bad.txt"))
+
+
+def test_fragments_are_laid_out_and_pruned(db, tmp_path):
+    db.execute("CREATE TABLE f (id INT PRIMARY KEY, s VARCHAR(8)) PARTITION BY RANGE (id) (PARTITION a VALUES LESS THAN (10) ON n1, PARTITION b VALUES LESS THAN (20) ON n2, PARTITION c VALUES LESS THAN (30) ON n1)")
+    (tmp_path / "f.csv").write_text("id,s\n" + "".join(f"{i},x{i}\n" for i in range(33)))
+    got = db.load_csv("f", str(tmp_path / "f.csv"))
+    assert (got.loaded, got.rejected) == (30, 3) and got.errors[0][0] == "id: no fragment holds it"
+    with pytest.raises(ExecutionError, match="no fragment"):
+        db.execute("INSERT INTO f VALUES (30, 'x')")
+    with pytest.raises(ExecutionError, match="exists"):
+        db.execute("INSERT INTO f VALUES (15, 'x')")
+    db.execute("INSERT INTO f VALUES (-4, 'x'); DELETE FROM f WHERE id = 12")
+    for where, rows, read in [("id = 15", [15], "b"), ("id < 3", [-4, 0, 1, 2], "a"), ("id >= 18", [*range(18, 30)], "bc"), ("id BETWEEN 9 AND 10", [9, 10], "ab"), ("id BETWEEN 9 AND 3", [], None), ("s = 'x11'", [11], "abc")]:
+        got = db.execute(f"SELECT id FROM f WHERE {where} ORDER BY id")
+        assert [r[0] for r in got.rows] == rows
+        if read:
+            assert {f.split("_fragment=")[1].split("/")[0] for f in db.tables.read("f", _keys_of(db, where)).inputFiles()} >= set(read)
+            plan = got.df._jdf.queryExecution().executedPlan().toString()
+            assert ("PartitionFilters: []" in plan) == (where.startswith("s"))
+
+
+def _keys_of(db, where):
+    from skein.plans import parser
+
+    return db.planner._keys(db._bound(parser.parse_sql_script(f"SELECT id FROM f WHERE {where}")[0]))
+
+
+def test_explain_analyze_counts_each_step(db):
+    db.execute("CREATE TABLE a (id INT PRIMARY KEY, g INT, x DOUBLE); CREATE TABLE b (k INT PRIMARY KEY, s VARCHAR(8))")
+    fill(db, "a", [f"{i}, {i % 3}, {i}.5" for i in range(8)])
+    fill(db, "b", ["0, 'zero'", "1, 'one'"])
+
+    def counts(sql):
+        def walk(s):
+            return [(s.op, s.records), *(x for c in s.children for x in walk(c))]
+
+        return walk(db.execute("EXPLAIN ANALYZE " + sql).plan)
+
+    assert counts("SELECT id FROM a WHERE x > 3.0 ORDER BY x LIMIT 2") == [("limit", 2), ("project", 5), ("sort", 5), ("filter", 5), ("scan", 8)]
+    assert counts("SELECT g, SUM(x) FROM a GROUP BY g") == [("project", 3), ("group", 3), ("scan", 8)]
+    assert counts("SELECT id, s FROM a JOIN b ON g = k WHERE x > 3.0") == [("project", 4), ("filter", 4), ("join", 6), ("scan", 8), ("scan", 2)]
+    assert counts("SELECT id FROM a WHERE id BETWEEN 9 AND 3")[0] == ("project", 0)
+    assert {r for _, r in counts("SELECT id FROM a")} == {8}
