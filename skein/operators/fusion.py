@@ -86,8 +86,10 @@ def chunk_text(text: str | None, words: int = CHUNK_WORDS, least: int = LEAST_WO
         if end - at > most or (end - at > words and end - at - words >= least):
             ends = [i for i in range(at + least, min(at + most, end) + 1) if re.search(r"[.!?]['\")\]]*$", every[i - 1])]
             end = min(ends, key=lambda i: (abs(i - at - words), i), default=at + words)
-        while end - at > 1 and len(" ".join(every[at:end]).encode()) > most_bytes:
+        size = sum(len(w.encode()) + 1 for w in every[at:end]) - 1
+        while end - at > 1 and size > most_bytes:
             end -= 1
+            size -= len(every[end].encode()) + 1
         out.append(" ".join(every[at:end]))
         if end >= len(every):
             break
